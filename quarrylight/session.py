@@ -31,18 +31,25 @@ def local_session(cores: int | str = 8, memory: str = "6g", partitions: int = 8)
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a folder of its own: on a cluster a machine-local
-    folder would be lost with the machine.
+    Only a local session without that setting gets a folder of its own: on a
+    cluster a machine-local folder would be lost with the machine.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylight-"))
+        known = tempfile.mkdtemp(prefix="quarrylight-")
+        spark.sparkContext.setCheckpointDir(known)
+    return known
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared folder and cut its lineage."""
+    spark = df.sparkSession
+    shared_folder(spark)
     # a checkpoint keeps the constraints of its plan, also those on columns that it no
     # longer has, and a later union fails on them: take it without any
     flag = "spark.sql.constraintPropagation.enabled"
