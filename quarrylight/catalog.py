@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrylight.functions import text as X
-from quarrylight.operators import chunking, context, corrective, evaluation, graph, ingest, observe, orphans, retrieval, router, units
+from quarrylight.operators import chunking, context, corrective, evaluation, graph, ingest, observe, orphans, render, retrieval, router, units
+from quarrylight.plans import pipeline
 from quarrylight.session import table as T
 from quarrylight.streaming import windows
 
@@ -850,8 +851,8 @@ def display_format(s, d):
 
 @query("SELECT chunk_id, ingested_at, ticker || ' ' || fiscal_period || ' — ' || CASE WHEN coalesce(section_title, '') = '' THEN 'General' ELSE substr(section_title, 1, 50) END AS label FROM chunks")
 def citation_label(s, d):
-    title = F.when(F.coalesce("section_title", F.lit("")) == "", "General").otherwise(F.substring("section_title", 1, 50))
-    return T(s, d, "chunks").select("chunk_id", "ingested_at", F.concat(F.col("ticker"), F.lit(" "), F.col("fiscal_period"), F.lit(" — "), title).alias("label"))
+    label = render.citation_label(F.col("ticker"), F.col("fiscal_period"), F.col("section_title"))
+    return T(s, d, "chunks").select("chunk_id", "ingested_at", label.alias("label"))
 
 
 # ---- event time ----------------------------------------------------------------------------------
@@ -891,6 +892,90 @@ def stream_available_now(s, d):
     return s.table(name)
 
 
+# ---- providers' outputs and rendering ------------------------------------------------------------
+
+
+@query("SELECT DISTINCT result_id, coalesce(generated_answer, '') || CASE WHEN coalesce(len(context_chunks), 0) > 0 THEN chr(10) || chr(10) || 'Sources:' || chr(10) || array_to_string(list_transform(context_chunks, lambda x, i: '[' || i || '] ' || x), chr(10)) ELSE '' END AS shown FROM eval_results WHERE context_chunks IS NULL OR NOT list_contains(list_transform(context_chunks, lambda x: x IS NULL), TRUE)")
+def answer_with_sources(s, d):
+    r = T(s, d, "eval_results").where(F.col("context_chunks").isNull() | ~F.exists("context_chunks", lambda x: x.isNull()))
+    return r.select("result_id", render.answer_with_sources(F.col("generated_answer"), F.col("context_chunks")).alias("shown")).distinct()
+
+
+@query("SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"n\":' || event_id || '}' AS body FROM events WHERE event_type IS NOT NULL")
+def response_json(s, d):
+    return T(s, d, "events").where(F.col("event_type").isNotNull()).select("event_id", render.response_json(event_type=F.col("event_type"), n=F.col("event_id")).alias("body"))
+
+
+@query("SELECT user_id, CASE WHEN max(CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'error' THEN 2 ELSE 1 END) = 2 THEN 'unhealthy' WHEN max(CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'error' THEN 2 ELSE 1 END) = 1 THEN 'degraded' ELSE 'healthy' END AS state FROM events GROUP BY user_id")
+def health_fold(s, d):
+    state = F.when(F.col("event_type") == "view", "healthy").when(F.col("event_type") == "error", "unhealthy").otherwise("degraded")
+    return render.worst_state(T(s, d, "events").select("user_id", state.alias("state")), "user_id")
+
+
+@query("SELECT run, repeat('█', CAST(floor(rate * 20 + 0.5) AS INTEGER)) AS bar FROM (SELECT run, count(*) FILTER (NOT coalesce(pipeline_failed, FALSE)) / count(*) AS rate FROM (SELECT DISTINCT ON (result_id) * FROM eval_results) GROUP BY run)")
+def summary_bars(s, d):
+    r = evaluation.pass_rate(T(s, d, "eval_results").dropDuplicates(["result_id"]))
+    return r.select("run", render.bar((F.col("n") - F.col("n_failed")) / F.col("n")).alias("bar"))
+
+
+@query("SELECT DISTINCT result_id, nullif(substr(trim(error_message), 1, 64), '') AS request_id FROM eval_results")
+def request_id(s, d):
+    return T(s, d, "eval_results").select("result_id", render.request_id(F.col("error_message")).alias("request_id")).distinct()
+
+
+@query("SELECT event_id, 'AMBIGUOUS' AS intent, CAST(0.5 AS DOUBLE) AS confidence FROM events")
+def router_parse_fallback(s, d):
+    """The props of events are JSON, but no decision: every row falls back."""
+    return T(s, d, "events").select("event_id", router.parse_decision(F.col("props")).alias("x")).select("event_id", "x.intent", "x.confidence")
+
+
+@query(f"WITH {_QUESTIONS}, outs AS (SELECT sample_id AS qid, 'hyde' AS kind, min(ground_truth) AS output FROM eval_samples GROUP BY sample_id), k AS (SELECT unnest(['hyde', 'multi', 'stepback']) AS kind) SELECT q.qid, k.kind, coalesce(output, question) AS variant, output IS NULL AS failed FROM questions q CROSS JOIN k LEFT JOIN outs o ON o.qid = q.qid AND o.kind = k.kind WHERE trim(question) <> ''")
+def transform_fallback(s, d):
+    outs = T(s, d, "eval_samples").groupBy(F.col("sample_id").alias("qid")).agg(F.min("ground_truth").alias("output")).withColumn("kind", F.lit("hyde"))
+    return router.transformed(_questions(s, d), outs)
+
+
+@query(f"WITH {_QUESTIONS}, pages AS (SELECT ticker AS topic, chunk_id AS url, any_value(section_title) AS title, max(text) AS snippet FROM chunks WHERE chunk_type = 'table' GROUP BY ticker, chunk_id), asked AS (SELECT sample_id AS qid, min(ticker) AS topic FROM eval_samples WHERE ticker IS NOT NULL GROUP BY sample_id), b AS (SELECT qid, url, row_number() OVER (PARTITION BY qid ORDER BY url) AS pos FROM asked JOIN pages USING (topic) WHERE trim(coalesce(snippet, '')) <> '') SELECT qid, CAST(pos AS INTEGER) AS pos, 'web:' || substr(md5(url), 1, 8) AS chunk_id FROM b WHERE pos <= 4")
+def web_search_table(s, d):
+    pages = T(s, d, "chunks").where("chunk_type = 'table'").groupBy(F.col("ticker").alias("topic"), F.col("chunk_id").alias("url")).agg(F.max("section_title").alias("title"), F.max("text").alias("snippet")).withColumn("score", F.lit(None).cast("double"))
+    asked = T(s, d, "eval_samples").where(F.col("ticker").isNotNull()).groupBy(F.col("sample_id").alias("qid")).agg(F.min("ticker").alias("topic"))
+    return corrective.web_search(asked, pages).select("qid", "pos", "chunk_id")
+
+
+@query("SELECT DISTINCT sample_id, question FROM eval_samples WHERE ticker = 'QVRN'")
+def dataset_slice(s, d):
+    return T(s, d, "eval_samples").where(retrieval.metadata_filter(ticker="QVRN")).select("sample_id", "question").distinct()
+
+
+@query()
+def hashed_embedding(s, d):
+    """Rows only: the engines hash differently."""
+    v = retrieval.hashed_vectors(_docs(s, d).select("id", "text"))
+    return v.select(F.col("id").alias("doc_id"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
+@query()
+def ask_batch(s, d):
+    """Rows only: the whole chain with the default providers."""
+    return pipeline.ask(_questions(s, d), _children(s, d), T(s, d, "chunks"))
+
+
+@query(f"WITH {_SCORES} SELECT run, sample_id, metric, round(score, 4) AS score, failed FROM scores")
+def report_rows(s, d):
+    from quarrylight.sources import files
+
+    return files.report(_scores(s, d).withColumn("question", F.lit(None).cast("string"))).drop("question")
+
+
+@query("SELECT e.event_id, e.event_type, o.o_orderkey AS last_order FROM events e ASOF LEFT JOIN (SELECT o_orderkey, o_custkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1) o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate")
+def asof_join(s, d):
+    """Extension: the latest order of a customer at each event, by one union and one window."""
+    ev = T(s, d, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("t"), F.lit(1).alias("side"), "event_id", "event_type", F.lit(None).cast("bigint").alias("o"))
+    od = T(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.col("o_orderkey").alias("o"))
+    w = Window.partitionBy("k").orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, 0)
+    return ev.unionByName(od).withColumn("last_order", F.last("o", ignorenulls=True).over(w)).where("side = 1").select("event_id", "event_type", "last_order")
+
+
 # ---- references and units -------------------------------------------------------------------------
 
 

@@ -52,3 +52,15 @@ def corrected(local: DataFrame, web: DataFrame, acts: DataFrame) -> DataFrame:
     mine = local.join(acts.select("qid", "action"), "qid").where((F.col("action") == "CORRECT") | ((F.col("action") == "AMBIGUOUS") & F.col("relevant"))).select("qid", "chunk_id", F.lit(0).alias("part"), "pos")
     other = web.join(acts.select("qid", "action"), "qid").where(F.col("action") != "CORRECT").select("qid", "chunk_id", F.lit(1).alias("part"), "pos")
     return mine.unionByName(other).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("part", "pos", "chunk_id"))).select("qid", "chunk_id", "place")
+
+
+def web_search(questions: DataFrame, pages: DataFrame, most: int = 4) -> DataFrame:
+    """Default web provider: a table of pages (url, title, snippet, score) matched to each question's ``topic``.
+
+    ``most`` is held within 1 and 10; blank snippets are dropped, long ones cut; the best score comes first.
+    """
+    k = max(1, min(10, most))
+    found = questions.join(pages, "topic").where(F.trim(F.coalesce("snippet", F.lit(""))) != "")
+    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.coalesce("score", F.lit(0.5))), "url"))
+    shown = F.concat(F.lit("[WEB] "), F.substring(F.coalesce("title", F.lit("")), 1, 200), F.lit("\n\n"), F.substring("snippet", 1, 1500))
+    return found.withColumn("pos", best).where(F.col("pos") <= k).select("qid", "pos", web_id(F.col("url")).alias("chunk_id"), shown.alias("text"), F.coalesce("score", F.lit(0.5)).alias("score"))

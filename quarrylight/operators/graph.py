@@ -87,3 +87,17 @@ def mentions(chunks: DataFrame, companies: DataFrame) -> DataFrame:
     """(chunk_id, ticker, mentioned): tickers of other companies that a text names in capitals."""
     said = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{4})\b"), F.lit(1))))
     return chunks.select("chunk_id", "ticker", said.alias("mentioned")).join(companies.select(F.col("ticker").alias("mentioned")).distinct(), "mentioned").where(F.col("mentioned") != F.col("ticker")).select("chunk_id", "ticker", "mentioned").distinct()
+
+
+_EXTRACTED = "entities ARRAY<STRUCT<name: STRING, type: STRING>>, relationships ARRAY<STRUCT<source: STRING, target: STRING, relation: STRING>>"
+
+
+def parse_extraction(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relationships of a model's JSON (chunk_id, ticker, output); what does not parse gives none."""
+    d = raw.select("chunk_id", "ticker", F.from_json("output", _EXTRACTED).alias("j"))
+    e = d.select("chunk_id", "ticker", F.inline("j.entities")).where(fold(F.col("name")) != "")
+    r = d.select("chunk_id", "ticker", F.inline("j.relationships")).where((fold(F.col("source")) != "") & (fold(F.col("target")) != ""))
+    return (
+        e.select("chunk_id", "ticker", fold(F.col("name")).alias("name"), F.coalesce("type", F.lit("METRIC")).alias("entity_type")),
+        r.select("chunk_id", "ticker", fold(F.col("source")).alias("source"), fold(F.col("target")).alias("target"), F.coalesce("relation", F.lit("MENTIONED_WITH")).alias("relation")),
+    )

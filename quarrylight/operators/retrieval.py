@@ -119,3 +119,12 @@ def with_parents(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Left join of the (few) results with the texts of their parents; a missing parent leaves the child's text."""
     parents = chunks.groupBy(F.col("chunk_id").alias("parent_id")).agg(F.max_by("text", F.struct("ingested_at", "text")).alias("p_text"))
     return results.join(parents, "parent_id", "left").withColumn("parent_text", F.coalesce("p_text", "text")).drop("p_text")
+
+
+def hashed_vectors(corpus: DataFrame, size: int = 64) -> DataFrame:
+    """(id, v): default embedder: counts of terms in hashed buckets, unit length; no terms give zeros."""
+    terms = corpus.select("id", F.explode_outer(words(F.col("text"))).alias("t"))
+    counts = terms.groupBy("id", F.pmod(F.xxhash64("t"), F.lit(size)).cast("int").alias("b")).agg(F.count("t").cast("double").alias("c"))
+    filled = F.map_from_entries(F.collect_list(F.struct("b", "c")))
+    per = counts.groupBy("id").agg(filled.alias("m"))
+    return per.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("m")).select("id", normalize(F.col("m")).alias("v"))

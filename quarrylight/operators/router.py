@@ -69,3 +69,24 @@ def first_occurrences(rows: DataFrame) -> DataFrame:
 
 def cache_key(question: Column) -> Column:
     return F.sha2(F.lower(F.trim(question)), 256)
+
+
+_DECISION = "intent STRING, confidence STRING, ticker STRING"
+
+
+def parse_decision(raw: Column) -> Column:
+    """struct(intent, confidence, ticker) of a model's JSON; AMBIGUOUS at 0.5 if it does not parse."""
+    d = F.from_json(F.trim(raw), _DECISION)
+    known = F.upper(d["intent"]).isin("FINANCIAL_SPECIFIC", "GENERAL", "OUT_OF_SCOPE", "AMBIGUOUS")
+    return F.struct(
+        F.when(known, F.upper(d["intent"])).otherwise("AMBIGUOUS").alias("intent"),
+        F.when(known, F.coalesce(d["confidence"].try_cast("double"), F.lit(0.5))).otherwise(0.5).alias("confidence"),
+        F.when(known, d["ticker"]).alias("ticker"),
+    )
+
+
+def transformed(questions: DataFrame, outputs: DataFrame, kinds: tuple[str, ...] = ("hyde", "multi", "stepback")) -> DataFrame:
+    """(qid, kind, variant, failed): a technique without output falls back to the question itself."""
+    wanted = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").select("qid", "question", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    out = wanted.join(outputs.select("qid", "kind", "output"), ["qid", "kind"], "left")
+    return out.select("qid", "kind", F.coalesce("output", "question").alias("variant"), F.col("output").isNull().alias("failed"))
