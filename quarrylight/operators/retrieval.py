@@ -18,11 +18,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """(term, id, tf, dl); the length rides along, so scoring needs no further join."""
-    terms = words(F.col("text"))
-    each = corpus.select("id", F.size(terms).alias("dl"), F.explode(terms).alias("term"))
-    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(corpus: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(term, id, tf, dl, kept), partitioned by id: what is grouped by id and more needs no further shuffle."""
+    flag = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    # the terms are a column of their own below the explode, or they would be split again for each of them
+    each = corpus.select("id", flag.alias("kept"), words(F.col("text")).alias("ts")).select("id", "kept", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    # a stated number, or the small postings are coalesced to a task or two that then do all the scoring
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus.sparkSession.sparkContext.defaultParallelism)
+    return each.repartition(parts, "id").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("kept").alias("kept"))
 
 
 def corpus_stats(corpus: DataFrame) -> DataFrame:
@@ -38,14 +41,28 @@ def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(floor)).select("term", "df", "avgdl", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor")).alias("idf"))
 
 
+#: Weighted question terms that are broadcast at once; further ones are answered in further blocks.
+TERM_BLOCK = 200_000
+
+
 def bm25(questions: DataFrame, corpus: DataFrame, keep: Column | None = None) -> DataFrame:
-    """(qid, id, score) of texts that share a term with the question; ``keep`` filters after scoring statistics."""
-    posts = postings(corpus)
+    """(qid, id, score) of texts that share a term with the question; ``keep`` filters after scoring statistics.
+
+    The terms of a block of questions are broadcast past the postings, which stay
+    partitioned by id, so the scores add up without a shuffle.
+    """
+    posts = postings(corpus, keep)
     asked = questions.select("qid", F.explode(words(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("m"))
-    wanted = posts if keep is None else posts.join(corpus.where(keep).select("id"), "id", "left_semi")
+    blocks = max(1, -(-asked.count() // TERM_BLOCK))
+    weighted = asked.join(idf(posts, corpus_stats(corpus)), "term").select("qid", "term", "m", "idf", "avgdl")
+    wanted = posts.where("kept")
     tf = F.col("tf")
     part = F.col("m") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return wanted.join(idf(posts, corpus_stats(corpus)), "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    out = []
+    for i in range(blocks):
+        block = weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        out.append(wanted.join(F.broadcast(block), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
