@@ -3,7 +3,9 @@
 The checks run in order, and a pair has the first defect that holds: ``empty``,
 ``copied_question`` (a suffix automaton of the question measures how much of the
 answer it covers), ``refusal`` (an automaton of refusing phrases), then
-``other_language`` (votes of frequent words) and ``truncated`` (ends, open
+``other_language`` (votes of frequent words; against the language of the question
+count only those that one of the two has alone, with or without a leading label;
+at least two, and twice as many as speak for the question's) and ``truncated`` (ends, open
 delimiters, dangling items).
 
 Defined results: a null answer is empty; with a null or blank question nothing
@@ -54,18 +56,29 @@ APOLOGIES = re.compile(r"\b(?:sorry|unfortunately|sadly|apologi[sz]e|regret|i'm
 NEGATIONS = re.compile(r"\b(?:not?|cannot|never|nothing|none|unable|decline|nicht|kein\w*|nichts|ne|pas|aucune?|sin|ning\w+|nada)\b|n't\b")
 # Frequent words of other languages than those of common_words.
 OTHER_WORDS = {
-    "it": "il lo gli che di del della dei delle nel nella non una per con sono è ha hanno al alla le ai dal sul più come anche questo i ed".split(),
+    "it": "il lo gli che di del della dei delle nel nella non una per con sono è ha hanno al alla le ai dal sul più come anche questo i ed la un a e in da si tra fra su o cui".split(),
     "pt": "o os da do das dos em um uma que não para com por mais como foi são ao à pela pelo seu sua também entre no na e".split(),
     "nl": "de het een van en is dat op te in voor met niet zijn aan door ook bij naar werd wordt uit deze die over om als".split(),
     "sv": "och att det som en på är av för med den till inte har om ett från vid sin kan var men".split(),
     "da": "og at det som en på er af for med den til ikke har om et fra ved sin kan var men blev".split(),
     "pl": "i w na z do nie się że jest to o od za po przez dla oraz jak był są przy".split(),
 }
+# Words of those languages and of the usual ones of common_words that its short lists may leave out, among them those of amounts.
+MORE_WORDS = {
+    "en": "i no so but he she they their his been had will would than more into after about over during between million billion thousand dollars".split(),
+    "de": "a am zum zur des einem einen einer eines sich war waren wurde wurden sind haben sein oder aber wie noch vor bis unter zwischen gegenüber durch gegen so sowie ab da er millionen milliarden mio mrd".split(),
+    "fr": "il elle ils elles on se ce ces sa leur à y ou où ont été était sous entre contre après selon malgré aussi comme lors si mais l d s qu n millions milliards".split(),
+    "es": "a e o u ante tras hasta según sin son han era eran fueron está están ser pero también donde cuando nos le les si ya millones millón dólares".split(),
+    "it": "milioni miliardi dollari".split(), "pt": "a os as e se milhões bilhões dólares".split(), "nl": "miljoen miljard".split(),
+    "sv": "miljoner miljarder".split(), "da": "millioner milliarder".split(), "pl": "milionów miliardów".split(),
+}
 # Short forms with a stop that do not end a sentence.
 ABBREVIATIONS = frozenset("inc corp co ltd mio mrd tsd no nr vs approx incl u.s e.g i.e dr mr mrs ms st yr z.b d.h bzw ca ggf sr sra núm p.ej".split())
 
 _CITED = re.compile(r"\s*(?:\[\d+\]\s*)+$")
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: A metric or speaker named before the answer itself.
+_LABEL = re.compile(r"^[^.:!?\n]{1,60}:\s+(?=\S)")
 _FIGURE = re.compile(r"\d")
 # What may stand beside a figure that is an answer by itself.
 _FIGURE_WORDS = re.compile(
@@ -240,6 +253,17 @@ class Votes:
                 out[lang] += 1
         return dict(out)
 
+    def between(self, one: str, two: str, text: str) -> tuple[int, int]:
+        """How many words only the one, and only the other of two languages has; words of both decide nothing."""
+        langs = [self.words.get(w, ()) for w in _LETTERS.findall(text.lower())]
+        return sum(one in x and two not in x for x in langs), sum(two in x and one not in x for x in langs)
+
+
+def _rather(other: str, own: str, text: str, votes: Votes) -> bool:
+    """The words that only one of the two languages has clearly speak for ``other``."""
+    theirs, ours = votes.between(other, own, text)
+    return theirs >= 2 and theirs >= 2 * ours
+
 
 def _script(text: str) -> str:
     kinds = Counter("cjk" if "぀" <= c <= "鿿" or "가" <= c <= "힯" else "cyrillic" if "Ѐ" <= c <= "ӿ" else "arabic" if "֐" <= c <= "ۿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin" for c in text if c.isalpha())
@@ -256,10 +280,13 @@ def other_language(question: str, answer: str, hint: str | None, votes: Votes) -
         mine = {hint}
     if not mine:
         return False
-    got = votes.of(answer)
-    top = max(got.values(), default=0)
-    own = max((got.get(x, 0) for x in mine), default=0)
-    return top >= 3 and top >= 2 * own + 1
+    for text in {answer, _LABEL.sub("", answer)}:
+        got = votes.of(text)
+        most = max(got.get(own, 0) for own in mine)
+        # a language with no more words in all has no more of its own either
+        if any(n > most and all(_rather(other, own, text, votes) for own in mine) for other, n in got.items()):
+            return True
+    return False
 
 
 def defect(question: str | None, answer: str | None, hint: str | None, votes: Votes) -> str | None:
@@ -293,7 +320,8 @@ def voters(common_words: DataFrame) -> dict[str, tuple[str, ...]]:
         raise ValueError(f"more than {MOST_WORDS} common words")
     out: dict[str, set[str]] = {}
     known = {r["lang"] for r in rows}
-    for lang, word in [(r["lang"], r["word"]) for r in rows] + [(x, w) for x, ws in OTHER_WORDS.items() if x not in known for w in ws]:
+    fixed = [(x, w) for x, ws in OTHER_WORDS.items() if x not in known for w in ws] + [(x, w) for x, ws in MORE_WORDS.items() for w in ws]
+    for lang, word in [(r["lang"], r["word"]) for r in rows] + fixed:
         out.setdefault(word, set()).add(lang)
     return {w: tuple(sorted(x)) for w, x in out.items()}
 

@@ -69,3 +69,22 @@ def test_operator(spark):
     got = {tuple(r) for r in pairs.defects(samples, results, common).collect()}
     assert got == {("ground_truth", "s1", "empty"), ("generated_answer", "r1", "copied_question"), ("generated_answer", "r2", "empty")}
     assert pairs.defects(samples.limit(0), results.limit(0), common).count() == 0
+
+
+@pytest.mark.parametrize(
+    "question,answer,lang,want",
+    [
+        ("Qu'a dit Korvaz Mining sur les ventes de Hubrina ?", "Korvaz Mining prevé un resultado de entre 28,7 millones de dólares y 39,3 millones de dólares.", "fr", True),
+        ("¿Cuáles fueron los ingresos de Korvaz Mining?", "Selon Korvaz Mining, les ventes de Vexaro ont progressé de 46,5 % pour atteindre 31,8 millions de dollars.", "es", True),
+        ("Quelle prévision Korvaz Mining a-t-elle donnée ?", "La direzione prevede per Q4 un risultato compreso tra 1,7 milioni di dollari e 27,2 milioni di dollari.", "fr", True),
+        (Q, "cost of sales: Für die Schließung von 123 Filialen in Asien wurden 740,3 Mio. USD zurückgestellt.", "en", True),
+        (Q, "Korvaz Mining rechnet mit einem Ergebnis zwischen 127,7 Mio. USD und 127,4 Mio. USD.", "en", True),
+        (Q, "Alcanzaron 183,2 millones.", "en", False),  # one word decides nothing
+        ("¿Cuáles fueron los ingresos de Korvaz Mining?", "Alcanzaron 237,9 millones de dólares, frente a 3 millones.", "es", False),
+        ("Quel a été le chiffre d'affaires ?", "Il a atteint 5 millions de dollars en Espagne, à la suite de la vente de un site.", "fr", False),
+        (Q, "net income: It was $5 million in La Plata de Oro.", "en", False),
+    ],
+)
+def test_sister_languages_and_labels(spark, question, answer, lang, want):
+    common = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string")
+    assert pairs.other_language(question, answer, lang, pairs.Votes(pairs.voters(common))) is want
