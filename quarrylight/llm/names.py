@@ -8,7 +8,8 @@ of the ``SLIP`` + 1 rarest q-grams of each.  Pairs are verified by a soft
 similarity of their tokens, weighted by rarity, in which a clash of qualifiers
 (relatives, sister firms) is a veto.  Verified links and aliases of one row are
 closed to classes.  A spelling without its qualifier (initials, family name
-alone) joins a class only if no other class would take it.
+alone) joins a class only if no other class would take it; those that no class
+takes form classes among themselves, by slips and by the aliases of their rows.
 
 Defined results: rows of other types and rows with a null ticker, null name
 without aliases, or no letter are in no class; null and empty aliases do not
@@ -367,19 +368,59 @@ def members(entities: DataFrame) -> DataFrame:
         .agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
         .groupBy(*offer[:5])
         .agg(F.min_by(F.struct("lo", "hi"), "far").alias("c"))
-        .select(*offer[:5], F.when(F.col("c.lo") == F.col("c.hi"), F.col("c.lo")).alias("taken"))
+        .select(*offer[:5], F.when(F.col("c.lo") == F.col("c.hi"), F.col("c.lo")).alias("taken"), F.when(F.col("c.lo") != F.col("c.hi"), True).alias("torn"))
     )
     own = _key("ticker", "kind", "anchor", "initial", "lone", "short")
+    offered = cut(weak.join(best, offer[:5], "left").withColumn("own", own).withColumn("free", F.col("taken").isNull() & F.col("torn").isNull()))
+    rest = _rest(offered, around, keyed.where(~F.col("full")).withColumn("lone", F.lit("?")).withColumn("own", own).join(sure, "entity_id").select("own", F.col("cluster").alias("taken")))
     placed = (
-        weak.join(best, offer[:5], "left")
+        offered.join(rest, "own", "left")
         .groupBy("entity_id")
-        .agg(F.coalesce(F.min("taken"), F.min(own)).alias("cluster"))
+        .agg(F.coalesce(F.min("taken"), F.min("label"), F.min("own")).alias("cluster"))
         .withColumn("links", F.lit(0).cast("bigint"))
     )
     kinds = mentions.select("entity_id", "ticker", "kind").distinct()
     return sure.unionByName(placed).join(kinds, "entity_id").select("entity_id", "ticker", "kind", "cluster", "links")
 
 
+def _only(offers: DataFrame) -> DataFrame:
+    """(label, to): what all offers of a label agree on."""
+    return offers.groupBy("label").agg(F.min("to").alias("to"), F.max("to").alias("hi")).where(F.col("to") == F.col("hi")).select("label", "to")
+
+
+def _rest(offered: DataFrame, around: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(own, label): the classes of weak spellings that no class of full spellings takes.
+
+    Those of one row are one, and so are those a slip apart with one initial if no
+    full spelling is near.  Such a group then joins the one class that a near weak
+    spelling, or a row with this alias, is in; a family name alone joins the one
+    group with an initial.
+    """
+    nodes = cut(offered.select("own", "ticker", "kind", "anchor", "initial", "taken", "free").distinct())
+    other = nodes.select("ticker", "kind", F.col("anchor").alias("other"), F.col("initial").alias("i2"), F.col("own").alias("own2"), F.col("taken").alias("taken2"), F.col("free").alias("free2"))
+    free = nodes.where("free").where(F.col("anchor") != "")
+    empty, one = F.lit(""), F.lit(1.0)
+    near = free.join(around, ["ticker", "kind", "anchor"]).join(other, ["ticker", "kind", "other"])
+    near = near.where(_similar("anchor", "other", empty, empty, one, one))
+    near = cut(near.unionByName(free.withColumn("other", F.concat("anchor", F.lit(""))).join(other, ["ticker", "kind", "other"]).where(F.col("own") != F.col("own2")).select(*near.columns)))
+    alike = near.where(F.col("initial") == F.col("i2"))
+    row = offered.where(F.col("taken").isNull()).groupBy("entity_id").agg(F.min("own").alias("a"), F.collect_set("own").alias("all"))
+    edges = alike.where("free2").select(F.col("own").alias("a"), F.col("own2").alias("b")).unionByName(row.select("a", F.explode("all").alias("b")).where(F.col("a") != F.col("b"))).distinct()
+    closed = _close(edges).withColumnRenamed("node", "own")
+    label = cut(nodes.where(F.col("taken").isNull()).join(closed, "own", "left").select("own", "initial", "free", F.coalesce("label", "own").alias("label")))
+    open_ = label.where("free").select("own", "label")
+    # nearest evidence first: a weak spelling that is taken, or a row that has this one as an alias
+    said = alike.where(F.col("taken2").isNotNull()).select("own", F.col("taken2").alias("to"))
+    rows = offered.where(F.col("taken").isNotNull()).select("entity_id", "taken").join(offered.where("free").select("entity_id", "own"), "entity_id")
+    said = said.unionByName(rows.select("own", F.col("taken").alias("to"))).unionByName(aliases.select("own", F.col("taken").alias("to")))
+    joined = cut(label.join(_only(open_.join(said, "own").select("label", "to")), "label", "left").select("own", "initial", "free", "label", "to"))
+    alone = joined.where(F.col("free") & (F.col("initial") == "") & F.col("to").isNull()).select("own", "label")
+    whose = joined.where("free").select(F.col("own").alias("own2"), F.coalesce("to", "label").alias("whose"))
+    lone = near.where((F.col("initial") == "") & (F.col("i2") != "") & F.col("free2")).select("own", "own2").join(whose, "own2")
+    single = _only(alone.join(lone, "own").select("label", F.col("whose").alias("to"))).select("label", F.col("to").alias("single"))
+    return joined.join(single, "label", "left").select("own", F.coalesce("to", "single", "label").alias("label"))
+
+
 def classes(entities: DataFrame) -> DataFrame:
     """One row an entity: its class and the number of spellings its own is linked to."""
     return members(entities).select("entity_id", "ticker", F.col("kind").alias("entity_type"), F.xxhash64("cluster").alias("class_id"), F.col("links").alias("n_links"))

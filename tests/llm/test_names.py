@@ -55,6 +55,24 @@ def test_weak_spellings(spark):
     assert pairs_of(spark, [("fl corp.", F, "T", []), ("flebowunex logistics corp.", F, "T", [])]) == {(0, 1)}
 
 
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([("fennroq", F, "T", []), ("fenroq ltd", F, "T", []), ("fennorq group", F, "T", None), ("fennroq", F, "U", [])], {(0, 1), (0, 2), (1, 2)}),
+        ([("j. kelikkefeld", P, "T", []), ("j. kelikefeld", P, "T", []), ("m. kelikefeld", P, "T", [])], {(0, 1)}),
+        ([("kelikkefeld", P, "T", []), ("j. kelikefeld", P, "T", [])], {(0, 1)}),
+        ([("kelikkefeld", P, "T", []), ("j. kelikefeld", P, "T", []), ("m. kelikkefeld", P, "T", [])], set()),
+        # aliases of weak rows, and weak aliases of rows with a full spelling
+        ([("fennroq", F, "T", ["tolvaxi"]), ("tolvaxi plc", F, "T", []), ("fennroq inc", F, "T", [])], {(0, 1), (0, 2), (1, 2)}),
+        ([("hurogagen services corp.", F, "T", ["fennroq"]), ("fennroq", F, "T", []), ("fennorq", F, "T", [])], {(0, 1), (0, 2), (1, 2)}),
+        # a weak spelling near two families belongs to neither, one in each to its own
+        ([("richard kebezalund", P, "T", []), ("ralph kebezolund", P, "T", []), ("r. kebezalund", P, "T", []), ("r. kebezolund", P, "T", [])], {(0, 2), (1, 3)}),
+    ],
+)
+def test_weak_spellings_among_themselves(spark, rows, want):
+    assert pairs_of(spark, rows) == want
+
+
 def test_edges_of_the_input(spark):
     rows = [(None, P, "T", None), ("", P, "T", [None, ""]), ("  ", P, "T", []), ("richard fletavetész", P, None, []), ("richard fletavetész", P, "A", []), ("richard fletavetész", P, "B", []), ("richard fletavetész", F, "A", []), ("richard fletavetész", "RISK", "A", []), ("richard fletavetész", P, "A", []), ("x" * 5000 + " y" * 3000, P, "A", []), ("王小明", P, "A", []), ("王小明", P, "A", []), (None, P, "A", ["richard fletavetész"])]
     assert pairs_of(spark, rows) == {(4, 8), (4, 12), (8, 12), (10, 11)}
