@@ -3,9 +3,12 @@
 A spelling is read into an anchor (family name, or the firm's own word), which is
 rare, and qualifiers (given name, or trade), which are common.  Anchors of one
 ticker and type meet in a prefix-filtered set-similarity join on their q-grams:
-a slip changes at most ``SLIP`` q-grams, so two anchors one slip apart share one
-of the ``SLIP`` + 1 rarest q-grams of each.  Pairs are verified by a soft
-similarity of their tokens, weighted by rarity, in which a clash of qualifiers
+a slip changes at most ``SLIP`` q-grams, and the similarity that is asked for
+lets one slip for ``LETTERS`` letters pass, so two such anchors share one of the
+``SLIP`` * (length / ``LETTERS``) + 1 rarest q-grams of each.  A firm's own words
+meet in any order.  Pairs are verified by a soft similarity of anchor and
+qualifier, weighted by rarity, of at least ``ALIKE``: between one slip in four
+and one in five letters it is the rarity that decides.  A clash of qualifiers
 (relatives, sister firms) is a veto.  Verified links and aliases of one row are
 closed to classes.  A spelling without its qualifier (initials, family name
 alone) joins a class only if no other class would take it; those that no class
@@ -35,6 +38,10 @@ from quarrylight.session import cut
 Q = 3
 #: The most q-grams that one slip (a swap of neighbours) changes.
 SLIP = Q + 1
+#: The similarity from which two spellings are one, and what a qualifier weighs at least and at most, as a share of its anchor's weight.
+ALIKE, QUAL_LEAST, QUAL_MOST = 0.85, 1 / 3, 2 / 3
+#: One slip for so many letters of the shorter anchor is the most that ``ALIKE`` lets pass: own + QUAL_MOST >= ALIKE * (1 + QUAL_MOST) is own >= 3 / 4.
+LETTERS = 4
 #: q-grams are counted in so many buckets, which bounds the table of their frequencies.
 GRAM_BUCKETS = 1 << 16
 #: A token is a qualifier if this share of all spellings has it (at most 1 / share x tokens a spelling of them).
@@ -100,11 +107,24 @@ def slips(a: str, b: str, most: int = 1) -> int:
                 return 1
             return 1 if a[i + 2 :] == b[i + 2 :] and a[i] == b[i + 1] and a[i + 1] == b[i] else 2
         return 1 if (a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]) else 2
-    raise ValueError("only one slip is looked for")
+    over = most + 1
+    before, last = [], [j if j <= most else over for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        row = [over] * (len(b) + 1)
+        row[0] = min(i, over)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, before[j - 2] + 1)
+            row[j] = min(d, over)
+        before, last = last, row
+        if min(row) >= over and min(before) >= over:
+            break
+    return min(last[-1], over)
 
 
 class Reader:
-    """Reads spellings into (anchor, qualifier, initials, short form)."""
+    """Reads spellings into (anchor, qualifier, initials, short form); ``turned`` gives the anchor of a firm in sorted order of its words."""
 
     def __init__(self, common: dict[str, frozenset[str]]):
         givens = {*NICKNAMES, *_SHORT} | {w for w in common.get(PERSON, ()) if len(w) >= 3 and w not in TITLES}
@@ -176,7 +196,15 @@ class Reader:
             return "".join(w for w, g in zip(full, given, strict=True) if not g), next(g for g in given if g), "", ""
         return "".join(full[1:]), full[0], "", ""
 
-    def firm(self, s: str) -> tuple[str, str, str, str]:
+    def turned(self, kind: str, s: str) -> str:
+        plain = _ascii(s)
+        if kind != FIRM or not re.search(r"[a-z]", plain):
+            return ""
+        own = self._own(plain)[0]
+        return "".join(sorted(own)) if len(own) > 1 else ""
+
+    def _own(self, s: str) -> tuple[list[str], list[str | None]]:
+        """The firm's own words, and what trade each word is."""
         words = [w for w in _tokens(s) if w not in LEGAL]
         if len(words) > 1:
             words = [w for w in words if len(w) > 1] or words
@@ -195,7 +223,10 @@ class Reader:
             if any(t != "and" for t in tail):
                 words = [w, *tail]
         trade = [self._trade(w) for w in words]
-        own = [w for w, t in zip(words, trade, strict=True) if not t]
+        return [w for w, t in zip(words, trade, strict=True) if not t], trade
+
+    def firm(self, s: str) -> tuple[str, str, str, str]:
+        own, trade = self._own(s)
         kinds = sorted({t for t in trade if t and t != "and"})
         core = "".join(own)
         if len(core) <= 2 or (len(own) == 1 and len(core) == 3 and not kinds):
@@ -210,29 +241,34 @@ class Reader:
         return self.person(plain) if kind == PERSON else self.firm(plain)
 
 
-_READ = T.StructType([T.StructField(c, T.StringType()) for c in ("anchor", "qual", "initial", "short")])
+_READ = T.StructType([T.StructField(c, T.StringType()) for c in ("anchor", "qual", "initial", "short", "turned")])
 
 
 def _reader(common: dict[str, frozenset[str]]):
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         reader = Reader(common)
         for kinds, spellings in batches:
-            yield pd.DataFrame([reader.read(k, s) for k, s in zip(kinds, spellings, strict=True)], columns=["anchor", "qual", "initial", "short"])
+            yield pd.DataFrame([(*reader.read(k, s), reader.turned(k, s)) for k, s in zip(kinds, spellings, strict=True)], columns=_READ.names)
 
     return run
 
 
 def similar(a: str, b: str, qa: str, qb: str, wa: float, wb: float) -> bool:
-    """Soft token similarity, weighted by rarity; a clash of qualifiers is a veto."""
-    off = slips(a, b)
-    if off > 1 or (off and min(len(a), len(b)) < 5):
-        return False
+    """Soft token similarity of anchor and qualifier against ``ALIKE``, weighted by rarity; a clash of qualifiers is a veto.
+
+    ``wa``, ``wb``: weights of the qualifiers as shares of the weights of their anchors.
+    """
     if qa != qb:
         if not set(qa.split("/")) & set(qb.split("/")) and not (slips(qa, qb) <= 1 and min(len(qa), len(qb)) >= 4 and " " not in qa + qb and not (qa in NICKNAMES and qb in NICKNAMES)):
             return False
-    own = 1 - off / max(len(a), len(b))
-    weight = (wa + wb) / 2
-    return (weight * own + 1.0) / (weight + 1.0) >= 0.75
+    shorter = min(len(a), len(b))
+    most = shorter // LETTERS
+    off = slips(a, b, max(1, most))
+    if off > most:
+        return False
+    weight = min(max((wa + wb) / 2, QUAL_LEAST), QUAL_MOST)
+    own = 1 - off / max(1, shorter)
+    return own + weight >= ALIKE * (1 + weight) - 1e-9
 
 
 @F.pandas_udf(T.BooleanType())
@@ -271,22 +307,25 @@ def _gram_pairs(anchors: DataFrame) -> DataFrame:
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (Q - 1)), lambda i: F.pmod(F.hash(F.substring(padded, i, F.lit(Q))), F.lit(GRAM_BUCKETS))))
     each = anchors.select("ticker", "kind", "anchor", F.explode(grams).alias("gram"))
     often = F.broadcast(each.groupBy("gram").agg(F.count("*").alias("n")))  # GRAM_BUCKETS rows at most
+    most = F.greatest(F.lit(1), F.floor(F.length("anchor") / LETTERS)).cast("int")
     prefix = (
         each.join(often, "gram")
         .groupBy("ticker", "kind", "anchor")
-        .agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, SLIP + 1), lambda x: x["gram"]).alias("prefix"))
+        .agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("all"))
+        .select("ticker", "kind", "anchor", F.transform(F.slice("all", F.lit(1), most * SLIP + 1), lambda x: x["gram"]).alias("prefix"))
     )
     part = prefix.select("ticker", "kind", "anchor", "prefix", F.length("anchor").alias("len"), F.explode("prefix").alias("gram"))
     a, b = part.alias("a"), part.alias("b")
+    slips_most = F.greatest(F.lit(1), F.floor(F.least("a.len", "b.len") / LETTERS))
     on = (
         (F.col("a.ticker") == F.col("b.ticker"))
         & (F.col("a.kind") == F.col("b.kind"))
         & (F.col("a.gram") == F.col("b.gram"))
         & (F.col("a.anchor") < F.col("b.anchor"))
-        & (F.abs(F.col("a.len") - F.col("b.len")) <= 1)
+        & (F.abs(F.col("a.len") - F.col("b.len")) <= slips_most)
         # a pair comes out of its first common q-gram only
         & (F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.gram"))
-        & (F.levenshtein("a.anchor", "b.anchor", 2) >= 0)
+        & (F.levenshtein("a.anchor", "b.anchor") <= 2 * slips_most)  # which counts a swap twice
     )
     return a.join(b, on).select(F.col("a.ticker").alias("ticker"), F.col("a.kind").alias("kind"), F.col("a.anchor").alias("anchor"), F.col("b.anchor").alias("other"))
 
@@ -327,15 +366,23 @@ def members(entities: DataFrame) -> DataFrame:
     )
     strong = keyed.where("full").withColumn("node", _key("ticker", "kind", "anchor", "qual"))
     nodes = strong.groupBy("ticker", "kind", "anchor", "qual").agg(F.count("*").alias("n"), F.max("short").alias("short"))
-    anchors = keyed.where(F.col("anchor") != "").select("ticker", "kind", "anchor").distinct()
-    pairs = cut(_gram_pairs(anchors))
-    # rarity of an anchor: how few of the spellings of its kind have it
-    weight = F.log(1 + F.lit(1e6) / F.col("n"))
-    left = nodes.select("ticker", "kind", "anchor", F.col("qual").alias("qa"), weight.alias("wa"))
-    right = nodes.select("ticker", "kind", F.col("anchor").alias("other"), F.col("qual").alias("qb"), weight.alias("wb"))
+    anchors = keyed.where(F.col("anchor") != "")
+    # the words of a firm in any order: anchors meet by either form
+    forms = cut(anchors.select("ticker", "kind", "anchor", F.explode(F.array("anchor", "turned")).alias("form")).where(F.col("form") != "").distinct())
+    near = _gram_pairs(forms.select("ticker", "kind", F.col("form").alias("anchor")).distinct()).select("ticker", "kind", F.col("anchor").alias("form"), F.col("other").alias("form2"))
+    near = near.unionByName(near.select("ticker", "kind", F.col("form2").alias("form"), F.col("form").alias("form2")))
+    turned = forms.where(F.col("form") != F.col("anchor")).select("ticker", "kind", "form").distinct().withColumn("form2", F.concat("form", F.lit("")))
+    second = forms.select("ticker", "kind", F.col("anchor").alias("other"), F.col("form").alias("form2"))
+    pairs = cut(forms.join(near.unionByName(turned), ["ticker", "kind", "form"]).join(second, ["ticker", "kind", "form2"]).where(F.col("anchor") < F.col("other")).select("ticker", "kind", "anchor", "other", "form", "form2").distinct())
+    # rarity of anchors and qualifiers among the spellings of their kind
+    whole_kind = F.broadcast(nodes.groupBy("kind").agg(F.sum("n").alias("total")))
+    rare = lambda c: nodes.groupBy("kind", c).agg(F.sum("n").alias("m")).join(whole_kind, "kind").select("kind", c, F.log(1 + F.col("total") / F.col("m")).alias(f"w_{c}"))
+    weighed = cut(nodes.join(rare("anchor"), ["kind", "anchor"]).join(rare("qual"), ["kind", "qual"]).select("ticker", "kind", "anchor", "qual", (F.col("w_qual") / F.col("w_anchor")).alias("w")))
+    left = weighed.select("ticker", "kind", "anchor", F.col("qual").alias("qa"), F.col("w").alias("wa"))
+    right = weighed.select("ticker", "kind", F.col("anchor").alias("other"), F.col("qual").alias("qb"), F.col("w").alias("wb"))
     met = left.join(pairs, ["ticker", "kind", "anchor"]).join(right, ["ticker", "kind", "other"])
-    same = left.withColumn("other", F.concat("anchor", F.lit(""))).join(right, ["ticker", "kind", "other"]).where(F.col("qa") < F.col("qb"))
-    linked = met.unionByName(same.select(*met.columns)).where(_similar("anchor", "other", "qa", "qb", "wa", "wb"))
+    same = left.withColumn("other", F.concat("anchor", F.lit(""))).withColumn("form", F.concat("anchor", F.lit(""))).withColumn("form2", F.concat("anchor", F.lit(""))).join(right, ["ticker", "kind", "other"]).where(F.col("qa") < F.col("qb"))
+    linked = met.unionByName(same.select(*met.columns)).where(_similar("form", "form2", "qa", "qb", "wa", "wb"))
     spelled = linked.select(_key("ticker", "kind", "anchor", "qa").alias("a"), _key("ticker", "kind", "other", "qb").alias("b"))
     # the spellings of one row mean one thing
     per_row = strong.groupBy("entity_id").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.collect_set("node").alias("all"))
@@ -354,12 +401,12 @@ def members(entities: DataFrame) -> DataFrame:
     # rows that only have spellings without a qualifier
     weak = keyed.join(per_row.select("entity_id"), "entity_id", "left_anti").where((F.col("anchor") != "") | (F.col("short") != "")).withColumn("lone", F.lit("?"))
     asked = weak.select("ticker", "kind", "anchor", "initial", "short").distinct()
-    around = pairs.select("ticker", "kind", "anchor", "other").unionByName(pairs.select("ticker", "kind", F.col("other").alias("anchor"), F.col("anchor").alias("other")))
+    around = pairs.unionByName(pairs.select("ticker", "kind", F.col("other").alias("anchor"), F.col("anchor").alias("other"), F.col("form2").alias("form"), F.col("form").alias("form2")))
     exact = asked.where(F.col("anchor") != "").withColumn("other", F.concat("anchor", F.lit(""))).withColumn("far", F.lit(0))
-    close = asked.join(around, ["ticker", "kind", "anchor"]).withColumn("far", F.lit(1))
+    close = asked.join(around, ["ticker", "kind", "anchor"]).where((F.col("form") == F.col("form2")) | ((F.length("form") >= 5) & (F.levenshtein("form", "form2", 2) >= 0))).withColumn("far", F.lit(1))
     takes = F.when(F.col("initial") == "", True).otherwise(F.exists(F.split("qual", "/"), lambda g: g.startswith(F.col("initial"))))
     whole = named.select("ticker", "kind", F.col("anchor").alias("other"), "qual", "cluster")
-    by_anchor = exact.unionByName(close.select(*exact.columns)).join(whole, ["ticker", "kind", "other"]).where(takes & ((F.col("far") == 0) | ((F.length("anchor") >= 5) & (F.levenshtein("anchor", "other", 2) >= 0))))
+    by_anchor = exact.unionByName(close.select(*exact.columns)).join(whole, ["ticker", "kind", "other"]).where(takes)
     by_short = asked.where(F.col("anchor") == "").join(named.select("ticker", "kind", "short", "cluster"), ["ticker", "kind", "short"]).withColumn("far", F.lit(0))
     offer = ["ticker", "kind", "anchor", "initial", "short", "far", "cluster"]
     offers = by_anchor.select(*offer).unionByName(by_short.select(*offer))
@@ -399,9 +446,9 @@ def _rest(offered: DataFrame, around: DataFrame, aliases: DataFrame) -> DataFram
     nodes = cut(offered.select("own", "ticker", "kind", "anchor", "initial", "taken", "free").distinct())
     other = nodes.select("ticker", "kind", F.col("anchor").alias("other"), F.col("initial").alias("i2"), F.col("own").alias("own2"), F.col("taken").alias("taken2"), F.col("free").alias("free2"))
     free = nodes.where("free").where(F.col("anchor") != "")
-    empty, one = F.lit(""), F.lit(1.0)
+    empty, least = F.lit(""), F.lit(QUAL_LEAST)  # without a qualifier the anchor has to be as near as beside a common one
     near = free.join(around, ["ticker", "kind", "anchor"]).join(other, ["ticker", "kind", "other"])
-    near = near.where(_similar("anchor", "other", empty, empty, one, one))
+    near = near.where(_similar("form", "form2", empty, empty, least, least)).drop("form", "form2")
     near = cut(near.unionByName(free.withColumn("other", F.concat("anchor", F.lit(""))).join(other, ["ticker", "kind", "other"]).where(F.col("own") != F.col("own2")).select(*near.columns)))
     alike = near.where(F.col("initial") == F.col("i2"))
     row = offered.where(F.col("taken").isNull()).groupBy("entity_id").agg(F.min("own").alias("a"), F.collect_set("own").alias("all"))

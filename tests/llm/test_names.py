@@ -44,6 +44,60 @@ def test_pairs(spark, kind, a, b, same):
     assert (pairs_of(spark, [(a, kind, "T", []), (b, kind, "T", None)]) == {(0, 1)}) is same
 
 
+@pytest.mark.parametrize(
+    "kind,a,b,same",
+    [
+        (P, "chuck zutvereyoung", "charles zuvrereyoung", True),  # two slips
+        (F, "alpha beta systems", "beta alpha systems", True),
+        (F, "alpha beta systems", "betta alpha sys", True),
+        (P, "richard fletavetész", "richard fletovatisz", False),  # three in ten letters
+    ],
+)
+def test_more_than_one_slip(spark, kind, a, b, same):
+    assert (pairs_of(spark, [(a, kind, "T", []), (b, kind, "T", None)]) == {(0, 1)}) is same
+
+
+def test_rarity_decides():
+    # one slip in four letters, two in eight: enough beside a rare qualifier, not beside a common one
+    for a, b in [("kova", "kovi"), ("hosirial", "hosiridsl")]:
+        assert names.similar(a, b, "systems", "systems", 0.7, 0.7) and not names.similar(a, b, "systems", "systems", 0.4, 0.4)
+    assert not names.similar("kov", "kob", "systems", "systems", 1.0, 1.0)
+
+
+def test_slips_in_general():
+    rnd = random.Random(3)
+
+    def plain(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    for _ in range(500):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))) for _ in range(2))
+        for most in (2, 3):
+            assert names.slips(a, b, most) == min(plain(a, b), most + 1)
+
+
+def test_join_finds_all_that_may_be_alike(spark):
+    rnd = random.Random(6)
+    ws = {"".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.randint(4, 7))) for _ in range(40)}
+    for w in sorted(ws):
+        for _ in range(3):
+            x = w
+            for _ in range(rnd.randint(1, len(w) // 4)):
+                i = rnd.randrange(len(x) - 1)
+                x = rnd.choice([x[:i] + x[i + 1 :], x[:i] + x[i + 1] + x[i] + x[i + 2 :], x[:i] + "x" + x[i + 1 :], x[:i] + "y" + x[i:]])
+            ws.add(x)
+    df = spark.createDataFrame([("T", P, w) for w in ws], "ticker string, kind string, anchor string")
+    got = {(r.anchor, r.other) for r in names._gram_pairs(df).collect()}
+    want = {(a, b) for a in ws for b in ws if a < b and names.similar(a, b, "", "", 1.0, 1.0)}
+    assert want <= got and any(names.slips(a, b) > 1 for a, b in want)
+
+
 def test_weak_spellings(spark):
     rows = [("richard krerawilund", P, "T", []), ("r. krerawilund", P, "T", []), ("krerawilund, r. g.", P, "T", None)]
     assert pairs_of(spark, rows) == {(0, 1), (0, 2), (1, 2)}
