@@ -202,6 +202,30 @@ def _open_delimiters(text: str) -> bool:
     return bool(stack) or text.count('"') % 2 == 1 or text.count("```") % 2 == 1
 
 
+_NUMBERING = re.compile(r"(?m)(?:^|(?<=\s))\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})\)")
+_SMILEY = re.compile(r"[:;]-?[()]")
+_CLOSERS = {"(": ")", "[": "]", "{": "}"}
+
+
+def _left_open(text: str) -> bool:
+    """A bracket, a quote of its own marks or a code fence is open at the end, whatever the last mark is.
+
+    Inside code nothing counts, and a closer without its opener closes nothing; „ and « may be closed by several marks.
+    """
+    if text.count("```") % 2:
+        return True
+    s = re.sub(r"```.*?```|`[^`\n]*`", " ", text, flags=re.S)
+    s = _NUMBERING.sub(" ", _SMILEY.sub(" ", s))
+    stack: list[str] = []
+    for c in s:
+        if c in _CLOSERS:
+            stack.append(c)
+        elif stack and c == _CLOSERS[stack[-1]]:
+            stack.pop()
+    low = s.count("„")
+    return bool(stack) or bool(re.search(r'(?:^|[\s(\[])"(?=\S)[^"]*$', s)) or (not low and s.count("“") > s.count("”")) or low > s.count("“") + s.count("”") or s.count("«") > s.count("»")
+
+
 def is_truncated(answer: str) -> bool:
     s = answer.rstrip()
     if figure_alone(s):
@@ -229,14 +253,14 @@ def is_truncated(answer: str) -> bool:
         tail = re.search(r"([^\W\d_][\w.]*)\.$", core)
         if tail and tail.group(1).lower() in ABBREVIATIONS and core[-1] == ".":
             return True
-        return _open_delimiters(body) and not re.search(r"[.!?][\"'”“’»)\]*]*$", body)
+        return _left_open(s)
     if figure_alone(last):
         return False
     if "\n" in s and re.match(r"(?:[-*+•]|\d+[.)])\s", last):
         items = [x.strip() for x in s.split("\n") if re.match(r"\s*(?:[-*+•]|\d+[.)])\s", x)]
         if len(items) >= 2 and all(not re.search(r"[.!?][\"'”)\]]*(?:\s*\[\d+\])*$", x) for x in items[:-1]):
             return core[-1] in ",:;(–-" or _open_delimiters(body)
-    return not cited or core[-1] in ",:;(–-"
+    return not cited or core[-1] in ",:;(–-" or _left_open(s)
 
 
 class Votes:

@@ -88,3 +88,14 @@ def test_operator(spark):
 def test_sister_languages_and_labels(spark, question, answer, lang, want):
     common = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string")
     assert pairs.other_language(question, answer, lang, pairs.Votes(pairs.voters(common))) is want
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        ("Sales rose (driven by Asia. Costs fell.", True), ("Sales rose [see the table of the release. It was fine.", True), ('He said "sales rose. Costs fell.', True), ("He said “sales rose. Costs fell.", True), ("See:\n```\nx = 1.\n", True), ("Sales rose (driven by Asia [1]", True), ("Sales rose (driven by Asia. [1]", True), ("Er sagte „der Umsatz stieg. Die Kosten fielen.", True),
+        ("Sales rose (driven by Asia).", False), ("Sales rose (driven by Asia) [1]", False), ("a) Sales rose. b) Costs fell.", False), ("(1) Sales rose. (2) Costs fell.", False), ("He said “sales rose.” Costs fell.", False), ("Er sagte „der Umsatz stieg“.", False), ("See `f(` there.", False), ("See:\n```\nf(x.\n```\nIt was fine.", False), ("Fine :( but it rose.", False), ('It needs a 5" pipe.', False),
+    ],
+)
+def test_open_delimiters(answer, want):
+    assert pairs.is_truncated(answer) is want
