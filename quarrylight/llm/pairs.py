@@ -54,6 +54,11 @@ REFUSALS = (
 # Openings of an apology or of an assistant, and negations; both together refuse.
 APOLOGIES = re.compile(r"\b(?:sorry|unfortunately|sadly|apologi[sz]e|regret|i'm afraid|automated assistant|language model|ai assistant|leider|tut mir leid|bedauer\w*|désolé\w*|malheureusement|regrett\w*|lo siento|lamento|por desgracia|lamentablemente)\b")
 NEGATIONS = re.compile(r"\b(?:not?|cannot|never|nothing|none|unable|decline|nicht|kein\w*|nichts|ne|pas|aucune?|sin|ning\w+|nada)\b|n't\b")
+# Thanks, advice and talk between the two speakers, and what a refusal names as its sources; such sentences answer nothing.
+COURTESIES = re.compile(
+    r"\b(?:thanks?|thank|please|kindly|understanding|understand|welcome|happy to|glad to|feel free|let me|anything else|consult|refer to|contact|i|i'm|i'd|i've|i'll|me|my|you|your|merci|veuillez|consultez|vous|votre|je|danke|bitte|ich|mir|ihnen|ihr|ihre[nr]?|wenden|gracias|por favor|consulte|usted|le ruego|su comprensión|yo|mi|grazie|prego)\b"
+)
+SOURCES = re.compile(r"\b(?:excerpts?|context|documents?|filings?|release|information|data|texts?|sources?|passages?|unterlagen|auszüge?|texte?n?|quellen?|informationen|extraits?|informations|documentos?|fuentes?|fragmentos?|información)\b")
 # Frequent words of other languages than those of common_words.
 OTHER_WORDS = {
     "it": "il lo gli che di del della dei delle nel nella non una per con sono è ha hanno al alla le ai dal sul più come anche questo i ed la un a e in da si tra fra su o cui".split(),
@@ -80,6 +85,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 #: A metric or speaker named before the answer itself.
 _LABEL = re.compile(r"^[^.:!?\n]{1,60}:\s+(?=\S)")
 _FIGURE = re.compile(r"\d")
+_AMOUNT = re.compile(r"\d+(?:[.,]\d+)*")
+_NUMBERED = re.compile(r"^\s*(?:[-*+•]\s*)?\(?\d{1,3}[.)](?:\s+|$)")
+_NO_FIGURES = re.compile(r"\[\d+\]|\b(?:8-k|10-[kq]|24/7|q[1-4]|20\d\d|19\d\d)\b")
 # What may stand beside a figure that is an answer by itself.
 _FIGURE_WORDS = re.compile(
     r"(?:usd|us|dollars?|eur|million(?:s|en)?|millones|billion|thousand|mio|mrd|tsd|milliards?|mil|de|dólares|percent|per|cent|pct|bps|basis|points?|q[1-4]|fy|h[12]|kwh|mwh|gwh|shares?|share|k|m|b|bn|mn|and|y|et|und|to|prozent|pour|cents?|about|approximately|ca|rund|environ|unos)$", re.I
@@ -174,13 +182,22 @@ def is_copy(question: str, answer: str) -> bool:
     return covered >= 0.9 and longest >= 0.6 * len(q)
 
 
-def is_refusal(answer: str) -> bool:
-    """Refuses, and holds no figure that would be an answer in part."""
+def is_refusal(answer: str, question: str | None = None) -> bool:
+    """Refuses, and every other sentence is courtesy, advice or talk about the question; figures of the question and item numbers are no answer."""
     s = _CITED.sub("", answer.lower()).replace("’", "'").replace("ʼ", "'")
-    if next(_refusals().iter(s), None) is None and not (APOLOGIES.search(s) and NEGATIONS.search(s)):
-        return False
-    figures = re.sub(r"\[\d+\]|\b(?:8-k|10-[kq]|24/7|q[1-4]|20\d\d|19\d\d)\b", " ", s)
-    return not _FIGURE.search(figures) and len(s) <= 400
+    asked = set(_AMOUNT.findall((question or "").lower()))
+    refuses = False
+    for sentence in re.split(r"(?<=[.!?])\s+|\n+", s):
+        said = _NUMBERED.sub("", _NO_FIGURES.sub(" ", sentence))
+        if not any(c.isalpha() for c in said) and not _FIGURE.search(said):
+            continue
+        if any(x not in asked for x in _AMOUNT.findall(said)):
+            return False
+        if next(_refusals().iter(sentence), None) is not None or (APOLOGIES.search(sentence) and NEGATIONS.search(sentence)):
+            refuses = True
+        elif not (sentence.rstrip().endswith("?") or APOLOGIES.search(sentence) or COURTESIES.search(sentence) or (SOURCES.search(sentence) and NEGATIONS.search(sentence))):
+            return False
+    return refuses
 
 
 def figure_alone(answer: str) -> bool:
@@ -319,7 +336,7 @@ def defect(question: str | None, answer: str | None, hint: str | None, votes: Vo
     asked = bool(question and question.strip())
     if asked and is_copy(question, answer):
         return "copied_question"
-    if is_refusal(answer):
+    if is_refusal(answer, question):
         return "refusal"
     if (asked or hint) and other_language(question or "", answer, hint, votes):
         return "other_language"

@@ -99,3 +99,18 @@ def test_sister_languages_and_labels(spark, question, answer, lang, want):
 )
 def test_open_delimiters(answer, want):
     assert pairs.is_truncated(answer) is want
+
+
+LONG = "I'm sorry, but I can't help with that request. " + "Thank you for your understanding and please consult the original filing of the company. " * 6
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        (LONG, True), (LONG + "Net income was $5 million.", False), (LONG + "Sales rose in Asia.", False), ("Sales rose in Asia. I cannot provide the margin.", False),
+        ("1. I cannot answer this.\n2. Please consult the filing.", True), ("I cannot say whether it was 12.5 million. I am unable to help with this.", True), ("I am unable to help with this. It was 7 million.", False),
+        ("Sales rose in Asia. " * 30 + "This is beyond my scope.", False),
+    ],
+)
+def test_refusals_by_sentence(answer, want):
+    assert pairs.is_refusal(answer, "Was net income 12.5 million?") is want
