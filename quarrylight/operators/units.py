@@ -151,7 +151,7 @@ def read_amount(text: str, quantity: str) -> tuple[Decimal, tuple[int, ...] | No
     """(signed figure, vector, factor) of a property's own text, or None if it is no amount."""
     s = re.sub(r"[    ]", " ", text).replace("−", "-").replace("–", "-").strip().lower()
     m = _NUMBER.search(s)
-    if not m or len(s) > 200:
+    if not m:
         return None
     before, after = s[: m.start()], s[m.end() :]
     negative = "-" in before or ("(" in before and ")" in after) or bool(re.search(r"\b(minus|negative|loss of)\b", before))

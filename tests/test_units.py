@@ -77,3 +77,9 @@ def test_operator(spark):
     out = {tuple(r) for r in units.amounts(ents, rels, chunks, common).collect()}
     assert out == {("entities", 1, "value", 5000), ("entities", 2, "value", 5000000), ("entities", 2, "change", 100), ("entities", 7, "value", 12), ("relationships", 1, "prior_value", 7)}
     assert units.amounts(ents.limit(0), rels.limit(0), chunks, common).count() == 0
+
+
+def test_long_texts():
+    assert units.base_value("money", "value", "$5" + " " * 300 + "million", [], None) == 5_000_000
+    assert units.base_value("money", "value", "$5 million " + "as the company said in its release " * 20, [], None) is None
+    assert units.base_value("money", "value", "word " * 20_000 + "7", [], None) is None
