@@ -54,7 +54,7 @@ def related(names: DataFrame, relationships: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-#: The longest name, in words, that is looked for in a question.
+#: The longest run of words of a question that is looked up; of a longer name it is the first words, and the rest is compared then.
 NAME_WORDS = 8
 
 
@@ -62,15 +62,19 @@ def match_questions(questions: DataFrame, merged: DataFrame) -> DataFrame:
     """(qid, name) of names and aliases that a question holds as whole words.
 
     Runs of up to ``NAME_WORDS`` words of the question are looked up by equality, so
-    it needs no nested loop over questions and names.
+    it needs no nested loop over questions and names; a longer name is looked up by
+    its first ``NAME_WORDS`` words and then compared as a whole.
     """
     toks = F.regexp_extract_all(fold(F.col("question")), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     n = F.size("t")
     runs = F.flatten(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(NAME_WORDS), n - i + 1)), lambda k: F.array_join(F.slice("t", i, k), " "))))
     grams = questions.select("qid", toks.alias("t")).select("qid", F.explode(F.array_distinct(runs)).alias("gram"))
     called = merged.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), "aliases"))).alias("said"))
-    plain = F.array_join(F.regexp_extract_all("said", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), " ")
-    return grams.join(called.select("name", plain.alias("gram")).where(F.col("gram") != "").distinct(), "gram").select("qid", "name").distinct()
+    words = F.regexp_extract_all("said", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    heads = called.select("name", words.alias("w")).where(F.size("w") > 0).select("name", F.array_join(F.slice("w", 1, NAME_WORDS), " ").alias("gram"), F.when(F.size("w") > NAME_WORDS, F.array_join("w", " ")).alias("long")).distinct()
+    text = questions.select("qid", F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" ")).alias("asked"))
+    whole = F.col("long").isNull() | F.col("asked").contains(F.concat(F.lit(" "), F.col("long"), F.lit(" ")))
+    return grams.join(heads, "gram").join(text, "qid", "left").where(whole).select("qid", "name").distinct()
 
 
 def expand(matches: DataFrame, merged: DataFrame, relationships: DataFrame, existing: DataFrame) -> DataFrame:

@@ -179,3 +179,12 @@ def test_dense_in_blocks(spark, monkeypatch):
     want = {tuple(r) for r in retrieval.dense(q, v, 3).select("qid", "id", "rank").collect()}
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
     assert {tuple(r) for r in retrieval.dense(q, v, 3).select("qid", "id", "rank").collect()} == want and len(want) == 30
+
+
+def test_names_of_any_length(spark):
+    long = "the very long name of a fund with twelve words in it"
+    merged = spark.createDataFrame([(long, []), ("fund", [long + " more"]), ("acme", ["x, y & z"])], "name string, aliases array<string>")
+    questions = spark.createDataFrame([(1, f"What is {long.title()}?"), (2, "What is the very long name of a fund with twelve letters?"), (3, f"Is {long} more, or X Y Z?"), (4, f"{long}s")], "qid int, question string")
+    from quarrylight.operators import graph
+
+    assert {tuple(r) for r in graph.match_questions(questions, merged).collect()} == {(1, long), (1, "fund"), (2, "fund"), (3, long), (3, "fund"), (3, "acme"), (4, "fund")}
