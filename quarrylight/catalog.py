@@ -8,7 +8,9 @@ embeddings share their ids for hybrid search.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,9 @@ from pyspark.sql.window import Window
 from quarrylight.functions import text as X
 from quarrylight.operators import chunking, context, corrective, evaluation, graph, ingest, observe, orphans, render, retrieval, router, units
 from quarrylight.plans import pipeline
+from quarrylight.session import shared_folder, stamp
 from quarrylight.session import table as T
+from quarrylight.sources.index import LexicalIndex
 from quarrylight.streaming import windows
 
 QUESTION = "net revenue of the payments segment and the outlook for inventory"
@@ -72,6 +76,17 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
+def _index(s: SparkSession, d: str, name: str) -> LexicalIndex:
+    """The stored index of the children or of the documents: made when it is first asked for, and anew when the table changes."""
+    source = os.path.abspath(os.path.join(d, "chunks.parquet" if name == "children" else "documents.parquet"))
+    key = hashlib.md5(f"{source} {stamp(s, source)}".encode()).hexdigest()
+    index = LexicalIndex(s, os.path.join(shared_folder(s), "lexical", f"{name}-{key}"))
+    if not index.exists():
+        corpus, payload = (_children(s, d), ("ticker",)) if name == "children" else (_docs(s, d), ())
+        LexicalIndex.create(corpus.select("id", "text", *payload), index.path, payload)
+    return index
+
+
 _CHILDREN = "children AS (SELECT chunk_id AS id, arg_max(parent_id, coalesce(epoch_us(ingested_at), 0)) AS parent_id, any_value(ticker) AS ticker, any_value(fiscal_period) AS fiscal_period, any_value(section_title) AS section_title, any_value(text) AS text FROM chunks WHERE chunk_type = 'child' AND text IS NOT NULL GROUP BY chunk_id)"
 _QUESTIONS = "questions AS (SELECT sample_id AS qid, min(question) AS question FROM eval_samples WHERE question IS NOT NULL GROUP BY sample_id)"
 _ONE = f"questions AS (SELECT 'q' AS qid, '{QUESTION}' AS question)"
@@ -101,23 +116,22 @@ def _cos_sql(a: str, b: str) -> str:
 
 @query(f"WITH {_CHILDREN}, {_ONE}, {_bm25_sql('children')} SELECT term, df, round(idf, 6) AS idf FROM scored_idf")
 def bm25_stats(s, d):
-    c = _children(s, d)
-    return retrieval.idf(retrieval.postings(c), retrieval.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(s, d, "children").terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_CHILDREN}, {_ONE}, {_bm25_sql('children')}, {_top_sql('scored', 10)} SELECT id, rank, score FROM top")
 def bm25_topk(s, d):
-    return retrieval.top_k(retrieval.bm25(_one(s), _children(s, d)), 10).select("id", "rank", "score")
+    return _index(s, d, "children").search(_one(s), 10).select("id", "rank", "score")
 
 
 @query(f"WITH {_CHILDREN}, {_ONE}, {_bm25_sql('children', keep='''ticker = 'QVRN' ''')}, {_top_sql('scored', 10)} SELECT id, rank, score FROM top")
 def bm25_filtered_topk(s, d):
-    return retrieval.top_k(retrieval.bm25(_one(s), _children(s, d), retrieval.metadata_filter(ticker="QVRN", year=None)), 10).select("id", "rank", "score")
+    return _index(s, d, "children").search(_one(s), 10, retrieval.metadata_filter(ticker="QVRN", year=None)).select("id", "rank", "score")
 
 
 @query(f"WITH {_CHILDREN}, {_QUESTIONS}, {_bm25_sql('children')}, {_top_sql('scored', 5)} SELECT qid, id, rank, score FROM top")
 def bm25_batch_topk(s, d):
-    return retrieval.top_k(retrieval.bm25(_questions(s, d), _children(s, d)), 5).select("qid", "id", "rank", "score")
+    return _index(s, d, "children").search(_questions(s, d), 5).select("qid", "id", "rank", "score")
 
 
 def _one_vector(s, d):
@@ -163,7 +177,7 @@ _HYBRID = f"""{_ONE}, docs AS (SELECT doc_id AS id, text FROM documents), {_bm25
 
 
 def _hybrid(s, d):
-    lexical = retrieval.top_k(retrieval.bm25(_one(s), _docs(s, d).select("id", "text")), 50)
+    lexical = _index(s, d, "documents").search(_one(s), 50)
     semantic = retrieval.dense(_one_vector(s, d), _vectors(s, d), 50)
     return retrieval.fuse([("dense", semantic), ("bm25", lexical)])
 
@@ -190,9 +204,9 @@ _VARIANTS = f"""{_CHILDREN}, questions AS (SELECT sample_id AS qid, min(question
 @query(f"WITH {_VARIANTS} SELECT qid, id, rrf_score, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, first_seen, id) AS pos FROM fused) WHERE pos <= 5")
 def hybrid_multi_variant(s, d):
     """Each question with a stepped-back variant: two lists of one source, fused."""
-    q, c = _questions(s, d), _children(s, d)
+    q = _questions(s, d)
     back = q.select("qid", F.regexp_replace("question", r"Q[1-4] \d{4}", "recent quarters").alias("question"))
-    lists = [("bm25", retrieval.top_k(retrieval.bm25(x, c), 10)) for x in (q, back)]
+    lists = [("bm25", _index(s, d, "children").search(x, 10)) for x in (q, back)]
     return retrieval.best_fused(retrieval.fuse(lists), 5).select("qid", "id", "rrf_score", "pos")
 
 
@@ -221,14 +235,14 @@ _RERANK = f"""WITH {_CHILDREN}, {_ONE}, {_bm25_sql('children')}, {_top_sql('scor
 
 @query(_RERANK)
 def rerank_lexical_topk(s, d):
-    cand = retrieval.top_k(retrieval.bm25(_one(s), _children(s, d)), 20).select("qid", "id", F.col("score").alias("rrf_score"))
+    cand = _index(s, d, "children").search(_one(s), 20).select("qid", "id", F.col("score").alias("rrf_score"))
     return retrieval.rerank_lexical(cand.join(_children(s, d), "id").withColumn("question", F.lit(QUESTION)), 5).select("id", "rank", "score")
 
 
 @query(f"WITH {_CHILDREN}, {_ONE}, {_bm25_sql('children')}, {_top_sql('scored', 5)} SELECT id, rank, score, FALSE AS reranked FROM top")
 def rerank_fallback(s, d):
     """Without a reranker the fused order stands, and the result says so."""
-    return retrieval.top_k(retrieval.bm25(_one(s), _children(s, d)), 5).select("id", "rank", "score", F.lit(False).alias("reranked"))
+    return _index(s, d, "children").search(_one(s), 5).select("id", "rank", "score", F.lit(False).alias("reranked"))
 
 
 # ---- ingestion ---------------------------------------------------------------
@@ -260,11 +274,21 @@ def index_top_sections(s, d):
 
 @query(f"SELECT count(*) AS n_postings, count(DISTINCT term) AS vocabulary, round(sum(tf) / count(DISTINCT id), 6) AS avg_tokens FROM (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_WORDS.format('text')}) AS term FROM documents) GROUP BY ALL)")
 def index_vocabulary(s, d):
-    p = retrieval.postings(_docs(s, d))
-    # distinct counts in two steps
-    terms = p.groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).agg(F.sum("n").alias("n_postings"), F.count("*").alias("vocabulary"), F.sum("tf").alias("tf"))
-    ids = p.groupBy("id").agg(F.lit(1).alias("one")).agg(F.count("*").alias("ids"))
-    return terms.crossJoin(ids).select("n_postings", "vocabulary", F.round(F.col("tf") / F.col("ids"), 6).alias("avg_tokens"))
+    index = _index(s, d, "documents")
+    terms = index.terms().agg(F.sum("df").alias("n_postings"), F.count("*").alias("vocabulary"), F.sum("tf").alias("tf"))
+    ids = index.texts().where("dl > 0").agg(F.count("*").alias("ids"))
+    return terms.crossJoin(ids).select("n_postings", "vocabulary", F.round(F.col("tf") / F.col("ids"), 6).alias("avg_tokens"))  # one row each
+
+
+@query(f"WITH {_CHILDREN} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_WORDS.format('text')}) AS term FROM children) GROUP BY ALL) GROUP BY term")
+def index_upsert(s, d):
+    """An index of the children without the first ticker, all of other texts; the true ones come in two further writes."""
+    c = _children(s, d).select("id", "text", "ticker")
+    first = c.agg(F.min("ticker")).first()[0]
+    at = os.path.join(shared_folder(s), "lexical", f"upsert-{uuid.uuid4().hex}")
+    index = LexicalIndex.create(c.where(F.col("ticker") != first).withColumn("text", F.concat(F.lit("former "), F.col("text"))), at, ("ticker",))
+    index.upsert(c.where(F.coalesce(F.col("ticker") == first, F.lit(True)))).upsert(c.where(F.col("ticker") != first))
+    return index.terms().select("term", "df", "tf")
 
 
 @query("SELECT entity_id, unnest(range(0, len(chunk_ids))) AS ord, unnest(chunk_ids) AS chunk_id FROM entities WHERE chunk_ids IS NOT NULL")
@@ -300,7 +324,7 @@ def text_counts(s, d):
     return T(s, d, "documents").select("doc_id", n.cast("bigint").alias("words"), X.token_count(F.col("text")).cast("bigint").alias("tokens"), (n >= 100).alias("passes"))
 
 
-@query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS tok FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, tok, unnest(range(0, len(tok), 128)) AS off FROM t) SELECT doc_id, off // 128 AS page, md5(array_to_string(tok[off + 1 : off + 128], ' ')) AS body FROM p")
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\s*(?:\\w+|[^\\w\\s])') AS tok FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, tok, unnest(range(0, len(tok), 128)) AS off FROM t) SELECT doc_id, off // 128 AS page, md5(regexp_replace(array_to_string(tok[off + 1 : off + 128], ''), '^\\s+', '')) AS body FROM p")
 def token_pages(s, d):
     docs = T(s, d, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", F.posexplode(X.token_pages(F.col("text"), 128)).alias("page", "body")).select("doc_id", F.col("page").cast("bigint").alias("page"), F.md5("body").alias("body"))
@@ -379,8 +403,7 @@ def chunk_id_uuid5(s, d):
 
 
 def _filings(s, d):
-    docs = _docs(s, d).where(F.col("ticker").isNotNull())
-    return docs.select(F.col("id").cast("string").alias("id"), "ticker", F.coalesce("date", F.lit("unknown")).alias("date"), F.coalesce("doc_type", F.lit("8-K")).alias("doc_type"), "text")
+    return _docs(s, d).select(F.col("id").cast("string").alias("id"), F.coalesce("ticker", F.lit("unknown")).alias("ticker"), F.coalesce("date", F.lit("unknown")).alias("date"), F.coalesce("doc_type", F.lit("8-K")).alias("doc_type"), "text")
 
 
 @query()
@@ -452,9 +475,30 @@ def cache_key_dedup(s, d):
 # ---- knowledge graph ----------------------------------------------------------------
 
 
-@query("WITH m AS (SELECT DISTINCT chunk_id, ticker, unnest(regexp_extract_all(text, '\\b([A-Z]{4})\\b')) AS mentioned FROM chunks) SELECT DISTINCT m.chunk_id, m.ticker, mentioned FROM m JOIN companies c ON c.ticker = mentioned WHERE m.ticker <> mentioned")
+@query("WITH m AS (SELECT DISTINCT chunk_id, ticker, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]*)\\b')) AS mentioned FROM chunks) SELECT DISTINCT m.chunk_id, m.ticker, mentioned FROM m JOIN companies c ON c.ticker = mentioned WHERE m.ticker <> mentioned")
 def kg_regex_entities(s, d):
-    return graph.mentions(T(s, d, "chunks"), T(s, d, "companies"))
+    return graph.mentions(T(s, d, "chunks"), T(s, d, "companies")).select("chunk_id", "ticker", "mentioned").distinct()
+
+
+def _extracted(s, d):
+    """Parents are read for tickers; each named entity stands in for what a model said of its chunks."""
+    parents = T(s, d, "chunks").where("chunk_type = 'parent'")
+    said = F.to_json(F.struct(F.array(F.struct("name", "entity_type")).alias("entities")))
+    outputs = T(s, d, "entities").select(F.explode("chunk_ids").alias("chunk_id"), "ticker", said.alias("output"))
+    return graph.extract(parents, T(s, d, "companies"), outputs)
+
+
+_COMPETING = "said AS (SELECT DISTINCT m.chunk_id, m.ticker, mentioned FROM (SELECT chunk_id, ticker, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]*)\\b')) AS mentioned FROM chunks WHERE chunk_type = 'parent') m JOIN companies c ON c.ticker = mentioned WHERE m.ticker <> mentioned)"
+
+
+@query(f"WITH {_COMPETING} SELECT chunk_id, ticker, lower(mentioned) AS name, 'COMPETITOR' AS entity_type FROM said UNION SELECT unnest(chunk_ids), ticker, {fold_sql('name')}, coalesce(entity_type, 'METRIC') FROM entities WHERE {fold_sql('name')} <> ''")
+def kg_extract_entities(s, d):
+    return _extracted(s, d)[0]
+
+
+@query(f"WITH {_COMPETING} SELECT DISTINCT chunk_id, ticker, lower(ticker) AS source, lower(mentioned) AS target, 'COMPETES_WITH' AS relation FROM said")
+def kg_extract_edges(s, d):
+    return _extracted(s, d)[1]
 
 
 _MONEY, _SHARE = r"(?i)\$[\d,]+\.?\d*\s*(?:billion|million|bn|mn|trillion|[BMT])", r"(?i)[\d.]+\s*(?:percent|%)"
@@ -520,7 +564,7 @@ def kg_type_counts(s, d):
 _PLAIN = r"array_to_string(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+'), ' ')"
 _MATCH = f"""{_MERGED}, {_QUESTIONS}, called AS (SELECT DISTINCT name, {_PLAIN.format('said')} AS gram FROM (SELECT name, unnest(list_concat([name], aliases)) AS said FROM merged)),
     plain AS (SELECT qid, ' ' || {_PLAIN.format(fold_sql('question'))} || ' ' AS q FROM questions),
-    matched AS (SELECT DISTINCT qid, name FROM plain JOIN called ON contains(q, ' ' || gram || ' ') WHERE gram <> '' AND len(string_split(gram, ' ')) <= 8)"""
+    matched AS (SELECT DISTINCT qid, name FROM plain JOIN called ON contains(q, ' ' || gram || ' ') WHERE gram <> '')"""
 
 
 def _matches(s, d):
@@ -537,29 +581,27 @@ _EXPAND = f"""{_MATCH}, {_EDGES}, owned AS (SELECT name, unnest(chunk_ids) AS ch
     placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hop, chunk_id) AS pos FROM found WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_type = 'table' AND chunk_id IS NOT NULL))"""
 
 
-def _expanded(s, d):
-    tables = T(s, d, "chunks").where("chunk_type = 'table'").select("chunk_id").distinct()
-    found = graph.expand(_matches(s, d), _merged(s, d), T(s, d, "relationships"), s.createDataFrame([], "qid string, chunk_id string"))
-    w = Window.partitionBy("qid").orderBy("hop", "chunk_id")
-    return found.drop("pos").join(tables, "chunk_id", "left_anti").withColumn("pos", F.row_number().over(w))
+def _expanded(s, d, most):
+    tables = T(s, d, "chunks").where("chunk_type = 'table'").select("chunk_id")
+    return graph.expand(_matches(s, d), _merged(s, d), T(s, d, "relationships"), s.createDataFrame([], "qid string, chunk_id string"), most, tables)
 
 
 @query(f"WITH {_EXPAND} SELECT qid, chunk_id, CAST(hop AS INTEGER) AS hop, CAST(pos AS INTEGER) AS pos FROM placed WHERE pos <= 10")
 def kg_graph_expand(s, d):
-    return _expanded(s, d).where("pos <= 10").select("qid", "chunk_id", "hop", "pos")
+    return _expanded(s, d, 10).select("qid", "chunk_id", "hop", "pos")
 
 
 @query(f"WITH {_EXPAND} SELECT qid, p.chunk_id, CAST(pos AS INTEGER) AS pos, 'graph' AS source, CAST(0.0 AS DOUBLE) AS rrf_score FROM placed p JOIN (SELECT DISTINCT chunk_id FROM chunks) USING (chunk_id) WHERE pos <= 3")
 def kg_inject(s, d):
     have = T(s, d, "chunks").select("chunk_id").distinct()
-    return _expanded(s, d).where("pos <= 3").join(have, "chunk_id", "left_semi").select("qid", "chunk_id", "pos", F.lit("graph").alias("source"), F.lit(0.0).alias("rrf_score"))
+    return _expanded(s, d, 3).join(have, "chunk_id", "left_semi").select("qid", "chunk_id", "pos", F.lit("graph").alias("source"), F.lit(0.0).alias("rrf_score"))
 
 
 # ---- context and citations ------------------------------------------------------------
 
 
 def _hits(s, d):
-    top = retrieval.top_k(retrieval.bm25(_questions(s, d), _children(s, d)), 10).select("qid", "id", F.col("rank").alias("pos"))
+    top = _index(s, d, "children").search(_questions(s, d), 10).select("qid", "id", F.col("rank").alias("pos"))
     return top.join(_children(s, d), "id").withColumnRenamed("id", "chunk_id")
 
 
@@ -585,7 +627,7 @@ def ctx_block(s, d):
 
 
 @query(
-    f"WITH {_HITS}, {_SLOTS}, b AS (SELECT qid, slot, {_BLOCK} AS block, len({_TOKENS.format(_BLOCK)}) AS tokens FROM slots), r AS (SELECT *, sum(tokens) OVER (PARTITION BY qid ORDER BY slot) AS upto FROM b) SELECT qid, md5(string_agg(block, chr(10) || chr(10) ORDER BY slot)) AS context_md5, count(*) AS n_blocks, CAST(sum(least(tokens, 512)) AS BIGINT) AS tokens FROM r WHERE upto <= 512 OR (slot = 1 AND tokens > 512) GROUP BY qid"
+    f"WITH {_HITS}, {_SLOTS}, w AS (SELECT qid, slot, {_BLOCK} AS block FROM slots), b AS (SELECT qid, slot, len({_TOKENS.format('block')}) AS tokens, CASE WHEN slot = 1 AND len({_TOKENS.format('block')}) > 512 THEN array_to_string(regexp_extract_all(block, '\\s*(?:\\w+|[^\\w\\s])')[1:512], '') ELSE block END AS block FROM w), r AS (SELECT *, sum(tokens) OVER (PARTITION BY qid ORDER BY slot) AS upto FROM b) SELECT qid, md5(string_agg(block, chr(10) || chr(10) ORDER BY slot)) AS context_md5, count(*) AS n_blocks, CAST(sum(least(tokens, 512)) AS BIGINT) AS tokens FROM r WHERE upto <= 512 OR (slot = 1 AND tokens > 512) GROUP BY qid"
 )
 def ctx_budget(s, d):
     return context.pack(_hits(s, d), 512).select("qid", F.md5("context").alias("context_md5"), "n_blocks", F.col("tokens").cast("bigint").alias("tokens"))
@@ -880,10 +922,6 @@ def window_session(s, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_available_now(s, d):
     """The tumbling windows again, from a file stream that is run to its end."""
-    import uuid
-
-    from quarrylight.session import shared_folder
-
     at = os.path.join(shared_folder(s), f"stream-{uuid.uuid4().hex}")
     stream = windows.read_events(s, os.path.join(os.path.abspath(d), "events.parquet"))
     name = f"w_{uuid.uuid4().hex}"
@@ -957,7 +995,7 @@ def hashed_embedding(s, d):
 @query()
 def ask_batch(s, d):
     """Rows only: the whole chain with the default providers."""
-    return pipeline.ask(_questions(s, d), _children(s, d), T(s, d, "chunks"))
+    return pipeline.ask(_questions(s, d), _children(s, d), T(s, d, "chunks"), _index(s, d, "children"), T(s, d, "entities"), T(s, d, "relationships"), pipeline.Settings(dense_k=10))
 
 
 @query(f"WITH {_SCORES} SELECT run, sample_id, metric, round(score, 4) AS score, failed FROM scores")

@@ -6,10 +6,15 @@ Null texts have no terms; null questions match nothing; ties go to the smaller i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylight.functions.text import words
@@ -78,31 +83,68 @@ def normalize(v: Column) -> Column:
     return F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-#: The most query vectors that are broadcast at once; further ones are answered in further blocks.
+#: The most query vectors that go to every task at once; further ones are answered in further blocks.
 QUERY_BLOCK = 4096
+#: Cells of the table of vectors by queries that a task fills at once.
+CELLS = 4_000_000
+#: Scores are rounded to six places: what lies so near the k-th best may tie with it.
+NEAR = 2e-6
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
     """Exact cosine top-k of a stated query set against all rows, in blocks of queries.
 
-    ``queries``: (qid, q); ``vectors``: (id, v).  A block is bounded, so it is broadcast and the
-    vectors stream past it; each task keeps k a query before the shuffle.
+    ``queries``: (qid, q); ``vectors``: (id, v).  The unit vectors of a block, of counted
+    size, go to every task; the vectors stream past them in Arrow batches, one matrix
+    product each, of which the best k a query leave the task.  Null, empty, zero and
+    not finite vectors, and vectors of another length than the query's, have no score.
     """
-    rows = vectors if keep is None else vectors.where(keep)
+    rows = (vectors if keep is None else vectors.where(keep)).select("id", "v")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    shape = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("s", T.DoubleType())])
     parts = []
     for i in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        scored = rows.join(F.broadcast(block), F.lit(True)).select("qid", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
-        parts.append(top_k(scored, k))
+        asked = block.select("qid", "q").toArrow()
+        if asked.num_rows:
+            scored = rows.mapInArrow(_product(asked, k), shape).select("qid", "id", F.round("s", 6).alias("score"))
+            parts.append(top_k(scored, k))
+    if not parts:
+        return top_k(rows.sparkSession.createDataFrame([], shape).select("qid", "id", F.col("s").alias("score")), k)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _units(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the lists of this size that have a direction."""
+    there = pc.fill_null(pc.equal(pc.list_value_length(lists), size), False).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(there)
+    flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(at), size)
+    norm = np.sqrt((flat * flat).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return at[good], flat[good] / norm[good, None]
+
+
+def _product(asked: pa.Table, k: int):
+    qids, lists = asked["qid"].combine_chunks(), asked["q"].combine_chunks()
+    sizes = sorted({n for n in pc.list_value_length(lists).to_pylist() if n})
+    sides = [(n, *_units(lists, n)) for n in sizes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for size, of, q in sides:
+                for at in range(0, whole.num_rows, max(1, CELLS // max(1, len(of)))):
+                    b = whole.slice(at, max(1, CELLS // max(1, len(of))))
+                    places, v = _units(b["v"], size)
+                    if not len(places) or not len(of):
+                        continue
+                    s = v @ q.T
+                    best = np.ones(s.shape, bool) if len(v) <= k else s >= np.partition(s, len(v) - k, axis=0)[len(v) - k] - NEAR
+                    i, j = np.nonzero(best)
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(of[j])), b["id"].take(pa.array(places[i])), pa.array(s[i, j])], names=["qid", "id", "s"])
+
+    return run
+
+
 def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists; a list's name is its source, two names make 'both'."""
     parts = [df.select("qid", "id", F.lit(src).alias("src"), F.col("rank"), (F.lit(i * 1_000_000) + F.col("rank")).alias("seen")) for i, (src, df) in enumerate(lists)]
@@ -140,8 +182,13 @@ def with_parents(results: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def hashed_vectors(corpus: DataFrame, size: int = 64) -> DataFrame:
     """(id, v): default embedder: counts of terms in hashed buckets, unit length; no terms give zeros."""
-    terms = corpus.select("id", F.explode_outer(words(F.col("text"))).alias("t"))
-    counts = terms.groupBy("id", F.pmod(F.xxhash64("t"), F.lit(size)).cast("int").alias("b")).agg(F.count("t").cast("double").alias("c"))
-    filled = F.map_from_entries(F.collect_list(F.struct("b", "c")))
-    per = counts.groupBy("id").agg(filled.alias("m"))
-    return per.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0))).alias("m")).select("id", normalize(F.col("m")).alias("v"))
+    terms = words(F.col("text"))
+    return vectors_of_terms(corpus.select("id", terms.alias("terms")).withColumn("tfs", F.transform("terms", lambda t: F.lit(1))), size)
+
+
+def vectors_of_terms(texts: DataFrame, size: int = 64) -> DataFrame:
+    """The same of texts that are already split into ``terms`` and their counts ``tfs``; row by row, without a shuffle."""
+    cells = F.zip_with("terms", "tfs", lambda t, n: F.struct(F.pmod(F.xxhash64(t), F.lit(size)).alias("b"), n.alias("n")))
+    each = texts.select("id", cells.alias("cells"))
+    total = lambda b: F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.when(c["b"] == b, c["n"]).otherwise(0))
+    return each.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), total).alias("m")).select("id", normalize(F.col("m")).alias("v"))

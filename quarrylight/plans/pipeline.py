@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import context, corrective, graph, retrieval
 from quarrylight.plans.providers import extract
+from quarrylight.session import cut
+from quarrylight.sources.index import LexicalIndex
 
 
 @dataclass(frozen=True)
@@ -16,6 +18,8 @@ class Settings:
     """Passed to every plan; nothing reads a module-wide singleton."""
 
     lexical_k: int = 10
+    #: Length of the vector lists; none without it, and then a question that shares no word with a text has no hit.
+    dense_k: int = 0
     final_k: int = 5
     pool: int = 20
     rrf_k: int = 60
@@ -24,9 +28,14 @@ class Settings:
     correct: bool = True
 
 
-def retrieve(questions: DataFrame, variants: list[DataFrame], corpus: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """(qid, pos, chunk_id, ...): lists of each variant fused, pooled and reranked."""
-    lists = [("bm25", retrieval.top_k(retrieval.bm25(v, corpus), cfg.lexical_k)) for v in (questions, *variants)]
+def retrieve(questions: DataFrame, variants: list[DataFrame], corpus: DataFrame, index: LexicalIndex, cfg: Settings = Settings()) -> DataFrame:
+    """(qid, pos, chunk_id, ...): a lexical and a vector list of each variant fused, pooled and reranked."""
+    lists = []
+    for v in (questions, *variants):
+        if cfg.dense_k:
+            asked = retrieval.hashed_vectors(v.select(F.col("qid").alias("id"), F.col("question").alias("text"))).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+            lists.append(("dense", retrieval.dense(asked, retrieval.vectors_of_terms(index.texts()), cfg.dense_k)))
+        lists.append(("bm25", index.search(v, cfg.lexical_k)))
     pool = retrieval.best_fused(retrieval.fuse(lists, cfg.rrf_k), cfg.pool).select("qid", "id", "rrf_score", "source")
     shown = pool.join(corpus, "id").join(questions, "qid")
     ranked = retrieval.rerank_lexical(shown, cfg.final_k)
@@ -36,7 +45,7 @@ def retrieve(questions: DataFrame, variants: list[DataFrame], corpus: DataFrame,
 def with_graph(hits: DataFrame, questions: DataFrame, entities: DataFrame, relationships: DataFrame, corpus: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Chunks of the graph appended after the ranked ones, without a rerank score."""
     merged = graph.merge_entities(entities)
-    found = graph.expand(graph.match_questions(questions, merged), merged, relationships, hits).where(F.col("pos") <= cfg.graph_chunks)
+    found = graph.expand(graph.match_questions(questions, merged), merged, relationships, hits, cfg.graph_chunks)
     extra = found.join(corpus.withColumnRenamed("id", "chunk_id"), "chunk_id").withColumn("pos", F.col("pos") + cfg.final_k).withColumn("source", F.lit("graph")).withColumn("score", F.lit(None).cast("double"))
     return hits.unionByName(extra.select(*hits.columns))
 
@@ -51,9 +60,12 @@ def answer(hits: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     return out.withColumn("grounded", context.grounded(F.col("answer")))
 
 
-def ask(questions: DataFrame, corpus: DataFrame, chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+def ask(questions: DataFrame, corpus: DataFrame, chunks: DataFrame, index: LexicalIndex, entities: DataFrame | None = None, relationships: DataFrame | None = None, cfg: Settings = Settings()) -> DataFrame:
     """Answers of a batch of questions (qid, question); a question without hits gets the canned answer."""
-    hits = retrieval.with_parents(retrieve(questions, [], corpus, cfg), chunks).withColumn("text", F.col("parent_text"))
+    hits = cut(retrieve(questions, [], corpus, index, cfg))
+    if entities is not None and relationships is not None:
+        hits = with_graph(hits, questions, entities, relationships, corpus, cfg)
+    hits = retrieval.with_parents(hits, chunks).withColumn("text", F.col("parent_text"))
     got = answer(hits, cfg)
     none = F.array().cast("array<string>")
     return questions.select("qid").distinct().join(got, "qid", "left").select(
@@ -66,9 +78,9 @@ def ask(questions: DataFrame, corpus: DataFrame, chunks: DataFrame, cfg: Setting
     )
 
 
-def ask_corrected(questions: DataFrame, corpus: DataFrame, web: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+def ask_corrected(questions: DataFrame, corpus: DataFrame, web: DataFrame, index: LexicalIndex, cfg: Settings = Settings()) -> DataFrame:
     """(qid, action, chunk_id, place): the set that the corrective loop would answer from."""
-    hits = retrieve(questions, [], corpus, cfg).join(questions, "qid")
+    hits = retrieve(questions, [], corpus, index, cfg).join(questions, "qid")
     graded = hits.select("qid", "chunk_id", "pos", corrective.grade_lexical(F.col("question"), F.col("text")).alias("relevant"))
     acts = corrective.actions(questions, graded)
     return corrective.corrected(graded, web, acts).join(acts.select("qid", "action"), "qid")

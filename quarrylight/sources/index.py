@@ -1,41 +1,316 @@
-"""A lexical index as tables: postings written once per text, statistics derived when read."""
+"""A lexical index as tables: written once, read by the buckets of the terms that are asked.
+
+An index is a folder of segments and a manifest.  A segment holds ``texts``
+(id, dl, terms and counts of each text, payload columns), ``postings`` (term, id,
+tf, dl, payload, by bucket of the term's hash, sorted by term) and ``terms`` (df and
+the bounds of tf and dl of each term, by bucket).  The manifest names the segments
+that count and the corpus statistics; it is written last, so a crash leaves an
+unnamed segment and no wrong result.
+
+A search tokenises the questions only.  There are three ways to the same rows:
+few postings are scored at once; for few questions of frequent words the terms
+of a question are taken by falling bound until the remaining ones together
+cannot lift a text into the best k, and only texts that hold one of the former
+are completed; many questions are scored text by text in Arrow batches, of
+which each keeps its best k a question.
+
+Defined results: null and empty texts have no postings but count as texts;
+a null id is an id like any other; a text whose id is written again replaces the
+former one; within one write the longest, then greatest text of an id stays;
+null questions match nothing; an empty index answers nothing.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from quarrylight.operators.ingest import pending
-from quarrylight.operators.retrieval import B, K1, EPSILON, postings
 from quarrylight.functions.text import words
+from quarrylight.operators.retrieval import B, EPSILON, K1, TERM_BLOCK, top_k
+from quarrylight.session import cut, delete, exists, read_small, write_small
+
+#: Folders of postings and of terms; what a search lists and prunes by.
+BUCKETS = 32
+#: Up to so many pairs of posting and question term are scored at once, without pruning.
+AT_ONCE = 2_000_000
+#: Up to so many questions are scored with pruning by bounds, more of them text by text.
+FEW = 16
+#: Cells of the table of texts by questions that a task of the latter fills at once.
+CELLS = 4_000_000
+#: Texts a question looks at before it knows its bound, as a multiple of k.
+PROBES = 50
+#: Of those, so many times k are completed: the k-th best of them is the bound.
+DEPTH = 3
+#: Up to so many asked terms are pushed into the scan by name.
+PUSHED = 64
+#: Scores are rounded to six places, so a bound must be missed by more than this.
+SLACK = 2e-6
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def factor(tf: Column, dl: Column, avgdl: float) -> Column:
+    """What a posting contributes for one of its idf; grows with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """A stored index; ``LexicalIndex.create`` makes one, ``upsert`` adds to it."""
+
+    spark: SparkSession
+    path: str
+
+    # ---- writing ----
+
+    @classmethod
+    def create(cls, corpus: DataFrame, path: str, payload: tuple[str, ...] = ()) -> LexicalIndex:
+        """A new index of (id, text, payload columns); an index at that path is replaced."""
+        index = cls(corpus.sparkSession, path)
+        delete(index.spark, path)
+        index._publish([index._segment(corpus, payload)], payload)
+        return index
+
+    def exists(self) -> bool:
+        return exists(self.spark, os.path.join(self.path, "manifest.json"))
+
+    def manifest(self) -> dict:
+        if not self.exists():
+            raise FileNotFoundError(f"no index at {self.path}")
+        return json.loads(read_small(self.spark, os.path.join(self.path, "manifest.json")))
+
+    def upsert(self, corpus: DataFrame) -> LexicalIndex:
+        """Add texts; segments that hold one of their ids are written again without it."""
+        old = self.manifest()
+        payload = tuple(old["payload"])
+        new = self._segment(corpus, payload)
+        ids = self._read("texts", [new]).select("id").distinct()
+        kept = []
+        for s in old["segments"]:
+            held = self._read("texts", [s])
+            if held.join(ids, held["id"].eqNullSafe(ids["id"]), "left_semi").limit(1).count():
+                kept.append(self._without(s, ids, payload))
+            else:
+                kept.append(s)
+        self._publish([*kept, new], payload)
+        for s in set(old["segments"]) - set(kept):
+            delete(self.spark, os.path.join(self.path, s))
+        return self
+
+    def _segment(self, corpus: DataFrame, payload: tuple[str, ...]) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        at = os.path.join(self.path, name)
+        one = corpus.groupBy("id").agg(F.max_by(F.struct("text", *payload), F.struct(F.coalesce(F.length("text"), F.lit(-1)), "text")).alias("r")).select("id", "r.*")
+        sorted_ = one.select("id", *payload, F.array_sort(words(F.col("text"))).alias("ts"))
+        # the counts of a text are runs of its sorted terms: no shuffle
+        n = F.size("ts")
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 1) | (F.element_at("ts", i) != F.element_at("ts", F.greatest(i - 1, F.lit(1)))))
+        runs = sorted_.select("id", *payload, n.alias("dl"), "ts", starts.alias("at"))
+        ends = lambda j: F.coalesce(F.try_element_at("at", j + 2), F.col("dl") + 1)
+        texts = runs.select("id", *payload, "dl", F.transform("at", lambda i: F.element_at("ts", i)).alias("terms"), F.transform("at", lambda i, j: ends(j) - i).alias("tfs"))
+        texts.write.parquet(os.path.join(at, "texts"))
+        self._write_postings(at, payload)
+        return name
+
+    def _write_postings(self, at: str, payload: tuple[str, ...]) -> None:
+        where = os.path.join(at, "postings")
+        each = self.spark.read.parquet(os.path.join(at, "texts")).select("id", "dl", *payload, F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+        # rebalanced, so that the bucket of a term that is everywhere is split between tasks
+        placed = each.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket")
+        placed.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(where)
+        if exists(self.spark, where, "bucket="):
+            terms = self.spark.read.parquet(where).groupBy("bucket", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+            terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(os.path.join(at, "terms"))
+
+    def _without(self, segment: str, ids: DataFrame, payload: tuple[str, ...]) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        at = os.path.join(self.path, name)
+        held = self._read("texts", [segment])
+        held.join(ids, held["id"].eqNullSafe(ids["id"]), "left_anti").write.parquet(os.path.join(at, "texts"))
+        self._write_postings(at, payload)
+        return name
+
+    def _publish(self, segments: list[str], payload: tuple[str, ...]) -> None:
+        s = self._read("texts", segments).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        about = {"segments": segments, "payload": list(payload), "n": s["n"], "avgdl": s["avgdl"] or 0.0}
+        mean = self._vocabulary(segments, about["n"]).agg(F.avg("raw")).first()[0]
+        about["floor"] = (mean or 0.0) * EPSILON
+        write_small(self.spark, os.path.join(self.path, "manifest.json"), json.dumps(about))
+
+    # ---- reading ----
+
+    def _read(self, table: str, segments: list[str]) -> DataFrame:
+        # a segment without terms has no buckets and no schema: it is left out
+        paths = [p for p in (os.path.join(self.path, s, table) for s in segments) if table == "texts" or exists(self.spark, p, "bucket=")]
+        if not paths:
+            fields = {"postings": "term string, id string, tf int, dl int, bucket int", "terms": "term string, df bigint, tf bigint, most_tf int, least_dl int, bucket int", "texts": "id string, dl int, terms array<string>, tfs array<int>"}
+            return self.spark.createDataFrame([], fields[table])
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths])
+
+    def _vocabulary(self, segments: list[str], n: int, only: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """(term, df, tf, most_tf, least_dl, raw) of all terms or of those asked for."""
+        t = self._read("terms", segments)
+        if buckets is not None:
+            t = t.where(F.col("bucket").isin(buckets))
+        if only is not None:
+            t = t.join(only, "term", "left_semi")
+        if len(segments) > 1:
+            t = t.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"), F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl"))
+        return t.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+    def terms(self) -> DataFrame:
+        """(term, df, tf, idf) of every term, with a floor for terms in more than half of the texts."""
+        m = self.manifest()
+        return self._vocabulary(m["segments"], m["n"]).select("term", "df", "tf", self._idf(m).alias("idf"))
+
+    def texts(self) -> DataFrame:
+        """(id, dl, terms, tfs, payload) of every text."""
+        return self._read("texts", self.manifest()["segments"])
+
+    @staticmethod
+    def _idf(m: dict) -> Column:
+        return F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.lit(m["floor"]))
+
+    # ---- searching ----
+
+    def search(self, questions: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
+        """(qid, id, score, rank): the k best texts of each question; ``keep`` is a condition on payload columns.
+
+        Corpus statistics are those of the whole index whatever ``keep`` says.  Questions
+        are answered in blocks of at most ``TERM_BLOCK`` weighted terms, counted before.
+        """
+        m = self.manifest()
+        asked = cut(questions.select("qid", F.explode(words(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("m")))
+        return reduce(DataFrame.unionByName, [self._search(part, few, m, k, keep) for part, few in _blocks(asked)])
+
+    def _search(self, asked: DataFrame, few: bool, m: dict, k: int, keep: Column | None) -> DataFrame:
+        side = F.broadcast if few else lambda df: df
+        only = asked.select("term").distinct()
+        some = only.select("term", bucket(F.col("term")).alias("b")).limit(PUSHED + 1).collect()
+        # the terms themselves only if they are few, of the buckets BUCKETS at most
+        buckets = sorted({r["b"] for r in (some if len(some) <= PUSHED else only.select(bucket(F.col("term")).alias("b")).distinct().collect())})
+        names = [r["term"] for r in some]
+        weights = asked.join(self._vocabulary(m["segments"], m["n"], only, buckets), "term")
+        w = F.col("m") * self._idf(m)
+        weights = weights.select("qid", "term", "df", w.alias("w"), (w * factor(F.col("most_tf"), F.col("least_dl"), m["avgdl"] or 1.0)).alias("most"))
+        weights = cut(weights)
+        size = weights.agg(F.sum("df").alias("rows"), F.min("w").alias("least"), F.approx_count_distinct("qid").alias("questions")).first()
+        posts = self._read("postings", m["segments"]).where(F.col("bucket").isin(buckets))
+        if 0 < len(names) <= PUSHED:
+            posts = posts.where(F.col("term").isin(names))
+        if keep is not None:
+            posts = posts.where(keep)
+        part = F.col("w") * factor(F.col("tf"), F.col("dl"), m["avgdl"] or 1.0)
+        # sums only grow, and bounds only hold, where every weight is above zero
+        if (size["rows"] or 0) <= AT_ONCE or size["least"] <= 0:
+            scored = posts.join(side(weights), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+            return top_k(scored, k)
+        if few and size["questions"] > FEW:
+            texts = self._read("texts", m["segments"])
+            return self._by_text(texts if keep is None else texts.where(keep), weights, m["avgdl"], k)
+        return self._pruned(posts, weights, part, k, side)
+
+    def _by_text(self, texts: DataFrame, weights: DataFrame, avgdl: float, k: int) -> DataFrame:
+        """Every text against all questions of a block, whose weights go to each task: ``TERM_BLOCK`` rows at most."""
+        rows = weights.select("qid", "term", "w").toArrow()
+        shape = T.StructType([T.StructField("qid", weights.schema["qid"].dataType), T.StructField("id", texts.schema["id"].dataType), T.StructField("s", T.DoubleType())])
+        scored = texts.select("id", "dl", "terms", "tfs").mapInArrow(_scorer(rows, avgdl, k), shape)
+        return top_k(scored.select("qid", "id", F.round("s", 6).alias("score")), k)
+
+    def _pruned(self, posts: DataFrame, weights: DataFrame, part: Column, k: int, side) -> DataFrame:
+        by_bound = Window.partitionBy("qid").orderBy(F.desc("most"), "term")
+        # reach: what a text can score by this term and those after it
+        ranked = cut(
+            weights.withColumn("before", F.coalesce(F.sum("df").over(by_bound.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("reach", F.sum("most").over(by_bound.rowsBetween(0, Window.unboundedFollowing)))
+        )
+        probes, unseen = ranked.where(F.col("before") < PROBES * k), ranked.where(F.col("before") >= PROBES * k)
+        hopeful = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "id"))
+        probed = posts.join(side(probes), "term").groupBy("qid", "id").agg(F.sum(part).alias("s")).withColumn("r", hopeful).where(F.col("r") <= DEPTH * k)
+        bound = _kth(_completed(cut(probed.select("qid", "id", "s")), unseen, posts, part, side), k)
+        split = cut(ranked.join(bound, "qid", "left").select("qid", "term", "w", "reach", F.coalesce("bound", F.lit(0.0)).alias("bound")))
+        needed, other = split.where(F.col("reach") >= F.col("bound")), split.where(F.col("reach") < F.col("bound"))
+        rest = other.groupBy("qid").agg(F.max("reach").alias("rest"), F.max("bound").alias("bound"))
+        found = posts.join(side(needed), "term").groupBy("qid", "id").agg(F.sum(part).alias("s"))
+        likely = cut(found.join(side(rest), "qid", "left").where(F.coalesce(F.col("s") + F.col("rest") >= F.col("bound"), F.lit(True))).select("qid", "id", "s"))
+        scored = _completed(likely, other, posts, part, side)
+        return top_k(scored.select("qid", "id", F.round("s", 6).alias("score")), k)
+
+
+def _completed(sums: DataFrame, terms: DataFrame, posts: DataFrame, part: Column, side) -> DataFrame:
+    """(qid, id, s): sums with what ``terms`` of the same question add to them."""
+    asked = sums.select("qid", "id").join(side(terms.select("qid", "term", "w")), "qid")
+    more = asked.join(posts.select("term", "id", "tf", "dl"), ["term", "id"]).groupBy("qid", "id").agg(F.sum(part).alias("t"))
+    return sums.join(more, ["qid", "id"], "left").select("qid", "id", (F.col("s") + F.coalesce("t", F.lit(0.0))).alias("s"))
+
+
+def _scorer(rows: pa.Table, avgdl: float, k: int):
+    """The best k sums a question of each batch of texts, and what ties with them."""
+    asked = rows["term"].combine_chunks().dictionary_encode()
+    qids = rows["qid"].combine_chunks().dictionary_encode()
+    term_no, q_no, w = asked.indices.to_numpy(), qids.indices.to_numpy(), rows["w"].to_numpy()
+    order = np.argsort(term_no, kind="stable")
+    q_no, w = q_no[order], w[order]
+    first = np.searchsorted(term_no[order], np.arange(len(asked.dictionary) + 1))
+    names, questions = asked.dictionary, qids.dictionary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // len(questions))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                n = b.num_rows
+                no = pc.fill_null(pc.index_in(b["terms"].flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+                text = np.repeat(np.arange(n), pc.list_value_length(b["terms"]).to_numpy(zero_copy_only=False))
+                known = no >= 0
+                no, text, tf = no[known], text[known], b["tfs"].flatten().to_numpy(zero_copy_only=False)[known]
+                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * b["dl"].to_numpy(zero_copy_only=False)[text] / avgdl))
+                by_term = np.argsort(no, kind="stable")
+                no, text, gain = no[by_term], text[by_term], gain[by_term]
+                sums = np.zeros((n, len(questions)))
+                ends = np.flatnonzero(np.diff(no, append=-1)) + 1
+                start = 0
+                for end in ends:
+                    t = no[start]
+                    q = slice(first[t], first[t + 1])
+                    sums[text[start:end, None], q_no[q]] += gain[start:end, None] * w[q]
+                    start = end
+                best = sums > 0
+                if n > k:
+                    best &= sums >= np.partition(sums, n - k, axis=0)[n - k] - SLACK
+                i, q = np.nonzero(best)
+                yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), b["id"].take(pa.array(i)), pa.array(sums[i, q])], names=["qid", "id", "s"])
+
+    return run
+
+
+def _kth(sums: DataFrame, k: int) -> DataFrame:
+    """(qid, bound): what the k-th best text of a question scores at least; no row if there are fewer."""
+    best = sums.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s")))).where(F.col("r") <= k)
+    return best.groupBy("qid").agg(F.min("s").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).select("qid", (F.col("s") - SLACK).alias("bound"))
 
 
-def append(corpus: DataFrame, path: str) -> None:
-    """Add the texts (id, text) that the index lacks; lengths are written after postings, so a crash repeats a text and loses none."""
-    spark = corpus.sparkSession
-    new = corpus
-    if _there(spark, path):
-        new = pending(corpus, spark.read.parquet(os.path.join(path, "lengths")), "id")
-    p = postings(new).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int"))
-    p.repartition("bucket").sortWithinPartitions("term").write.mode("append").partitionBy("bucket").parquet(os.path.join(path, "postings"))
-    new.select("id", F.size(words(F.col("text"))).alias("dl")).write.mode("append").parquet(os.path.join(path, "lengths"))
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "lengths"))
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def search(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
-    """(qid, id, score) as ``retrieval.bm25`` gives it, from the stored postings."""
-    posts = spark.read.parquet(os.path.join(path, "postings")).dropDuplicates(["term", "id"])
-    stats = spark.read.parquet(os.path.join(path, "lengths")).dropDuplicates(["id"]).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
-    raw = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    weight = raw.crossJoin(F.broadcast(raw.agg((F.avg("raw") * EPSILON).alias("floor")))).select("term", "avgdl", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor")).alias("idf"))
-    asked = questions.select("qid", F.explode(words(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("m"))
-    part = F.col("m") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return posts.join(weight, "term").join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+def _blocks(asked: DataFrame) -> list[tuple[DataFrame, bool]]:
+    """Parts of whole questions, each with whether it has at most ``TERM_BLOCK`` rows, as counted: such a part may be broadcast."""
+    n = asked.count()
+    if n <= TERM_BLOCK:
+        return [(asked, True)]
+    bands = 2 * -(-n // TERM_BLOCK)
+    band = F.pmod(F.xxhash64("qid"), F.lit(bands))
+    sizes = {r["b"]: r["count"] for r in asked.groupBy(band.alias("b")).count().collect()}
+    return [(asked.where(band == b), size <= TERM_BLOCK) for b, size in sorted(sizes.items())]

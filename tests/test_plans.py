@@ -28,13 +28,13 @@ def test_topk_limits_groups_early(spark, data):
 
 def test_ask(spark, data):
     chunks = catalog.T(spark, data, "chunks")
-    corpus = catalog._children(spark, data)
+    corpus, index = catalog._children(spark, data), catalog._index(spark, data, "children")
     q = catalog._questions(spark, data).limit(5).unionByName(spark.createDataFrame([("none", "zzzz qqqq")], "qid string, question string"))
-    rows = {r.qid: r for r in pipeline.ask(q, corpus, chunks).collect()}
+    rows = {r.qid: r for r in pipeline.ask(q, corpus, chunks, index, catalog.T(spark, data, "entities"), catalog.T(spark, data, "relationships")).collect()}
     assert rows["none"].retrieval_failed and not rows["none"].grounded
     assert any("[1]" in r.answer for r in rows.values())
     web = spark.createDataFrame([("none", "web:1", 1)], "qid string, chunk_id string, pos int")
-    out = {(r.qid, r.action) for r in pipeline.ask_corrected(q, corpus, web).collect()}
+    out = {(r.qid, r.action) for r in pipeline.ask_corrected(q, corpus, web, index).collect()}
     assert ("none", "INCORRECT") in out
 
 
