@@ -37,15 +37,21 @@ def token_count(c: Column) -> Column:
 
 
 def token_list(c: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(c, F.lit(r"(\w+|[^\w\s])"), F.lit(1)), F.array().cast("array<string>"))
+    """The pieces in order, each with the blanks before it: joined they are the text up to its last piece."""
+    return F.coalesce(F.regexp_extract_all(c, F.lit(r"(\s*(?:\w+|[^\w\s]))"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def token_head(c: Column, budget: int) -> Column:
+    """The text up to the end of its piece number ``budget``."""
+    return F.array_join(F.slice(token_list(c), 1, budget), "")
 
 
 def token_pages(c: Column, budget: int) -> Column:
-    """Pages of at most ``budget`` pieces, joined by blanks."""
+    """Pages of at most ``budget`` pieces; each is a part of the text as it stands."""
     toks = token_list(c)
     n = F.size(toks)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(budget))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(toks, s + 1, F.lit(budget)), " "))
+    return F.transform(starts, lambda s: F.regexp_replace(F.array_join(F.slice(toks, s + 1, F.lit(budget)), ""), r"^\s+", ""))
 
 
 def overlap_tail(c: Column, n: int) -> Column:

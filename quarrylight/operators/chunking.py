@@ -128,7 +128,8 @@ def chunk_id(ticker: Column, date: Column, index: Column) -> Column:
     return F.concat_ws("_", ticker, date, F.substring(uuid5(F.concat_ws(":", ticker, date)), 1, 8), index.cast("string"))
 
 
-_PIECE = re.compile(r"\w+|[^\w\s]")
+#: ASCII, as the JVM and SQL engines count.
+_PIECE = re.compile(r"\w+|[^\w\s]", re.A)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 _SHORT = re.compile(ABBREVIATION, re.I)
 
@@ -147,6 +148,12 @@ def split_sentences(text: str) -> list[str]:
     return [s.strip() for s in out if s.strip()]
 
 
+def pages(body: str, budget: int) -> list[str]:
+    """The body, or its parts of at most ``budget`` pieces as they stand in it."""
+    at = [m.span() for m in _PIECE.finditer(body)]
+    return [body] if len(at) <= budget else [body[at[i][0] : at[min(i + budget, len(at)) - 1][1]] for i in range(0, len(at), budget)]
+
+
 def pack_parents(parts: list[tuple[str, str]]) -> list[dict]:
     """Greedy packing of (title, body) into parents; a table stands alone and drops the overlap."""
     out: list[dict] = []
@@ -167,9 +174,7 @@ def pack_parents(parts: list[tuple[str, str]]) -> list[dict]:
             out.append({"kind": "table", "title": "Financial Table", "body": body, "overlap": False})
             tail = ""
             continue
-        toks = _PIECE.findall(body)
-        pages = [body] if len(toks) <= PARENT_TOKENS else [" ".join(toks[i : i + PARENT_TOKENS]) for i in range(0, len(toks), PARENT_TOKENS)]
-        for page in pages:
+        for page in pages(body, PARENT_TOKENS):
             n = _pieces(page)
             if held and size + n > PARENT_TOKENS:
                 close()

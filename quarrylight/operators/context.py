@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrylight.functions.text import token_count
+from quarrylight.functions.text import token_count, token_head
 
 # Phrases of an answer that is not grounded in its context.
 UNGROUNDED = (
@@ -50,11 +50,12 @@ def block(slot: Column, ticker: Column, period: Column, title: Column, body: Col
 
 
 def within_budget(blocks: DataFrame, budget: int) -> DataFrame:
-    """The longest prefix of blocks within the budget; a first block above it is cut down to it."""
+    """The longest prefix of blocks within the budget; a first block above it is cut at the end of its last piece within it."""
     w = Window.partitionBy("qid").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     run = blocks.withColumn("tokens", token_count(F.col("block"))).withColumn("upto", F.sum("tokens").over(w))
     first = (F.col("slot") == 1) & (F.col("tokens") > budget)
-    return run.where((F.col("upto") <= budget) | first).withColumn("tokens", F.least("tokens", F.lit(budget))).drop("upto")
+    kept = run.where((F.col("upto") <= budget) | first).withColumn("block", F.when(first, token_head(F.col("block"), budget)).otherwise(F.col("block")))
+    return kept.withColumn("tokens", F.least("tokens", F.lit(budget))).drop("upto")
 
 
 def pack(hits: DataFrame, budget: int) -> DataFrame:

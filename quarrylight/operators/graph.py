@@ -77,23 +77,60 @@ def match_questions(questions: DataFrame, merged: DataFrame) -> DataFrame:
     return grams.join(heads, "gram").join(text, "qid", "left").where(whole).select("qid", "name").distinct()
 
 
-def expand(matches: DataFrame, merged: DataFrame, relationships: DataFrame, existing: DataFrame) -> DataFrame:
-    """(qid, chunk_id, hop, pos): chunks of matched names, then of their neighbours, without those already there."""
-    owned = merged.select("name", F.explode("chunk_ids").alias("chunk_id"))
+def expand(matches: DataFrame, merged: DataFrame, relationships: DataFrame, existing: DataFrame, most: int | None = None, skip: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, hop, pos): chunks of matched names, then of their neighbours, without those already there.
+
+    ``skip``: chunk_ids that never count.  With ``most`` only the first so many of a
+    question come out, and then a name gives the questions its first chunks only:
+    what is among the first of a question is among the first of the name it came by.
+    """
+    owned = merged.select("name", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    if skip is not None:
+        owned = owned.join(skip.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    known = existing.select("qid", "chunk_id").distinct()
+    need = None
+    if most is not None:
+        # a chunk that is there already takes up a place of a name
+        taken = known.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        need = most + (taken or 0)
+    first = lambda df, key: df if need is None else df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("chunk_id"))).where(F.col("_n") <= need).drop("_n")
+    owned = first(owned, "name")
     direct = matches.join(owned, "name").select("qid", "chunk_id", F.lit(0).alias("hop"))
     near = related(matches.select("name").distinct(), relationships).select("name", "other").distinct()
-    hop = matches.join(near, "name").select("qid", F.col("other").alias("name")).distinct().join(owned, "name").select("qid", "chunk_id", F.lit(1).alias("hop"))
-    found = direct.unionByName(hop).groupBy("qid", "chunk_id").agg(F.min("hop").alias("hop")).join(existing.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
-    return found.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("hop", "chunk_id")))
+    around = first(near.join(owned.withColumnRenamed("name", "other"), "other").select("name", "chunk_id").distinct(), "name")
+    hop = matches.join(around, "name").select("qid", "chunk_id", F.lit(1).alias("hop"))
+    found = direct.unionByName(hop).groupBy("qid", "chunk_id").agg(F.min("hop").alias("hop")).join(known, ["qid", "chunk_id"], "left_anti")
+    out = found.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("hop", "chunk_id")))
+    return out if most is None else out.where(F.col("pos") <= most)
+
+
+#: What may be a ticker: a word of capitals and figures.
+TICKER = r"\b([A-Z][A-Z0-9]*)\b"
 
 
 def mentions(chunks: DataFrame, companies: DataFrame) -> DataFrame:
-    """(chunk_id, ticker, mentioned): tickers of other companies that a text names in capitals."""
-    said = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{4})\b"), F.lit(1))))
-    return chunks.select("chunk_id", "ticker", said.alias("mentioned")).join(companies.select(F.col("ticker").alias("mentioned")).distinct(), "mentioned").where(F.col("mentioned") != F.col("ticker")).select("chunk_id", "ticker", "mentioned").distinct()
+    """(chunk_id, ticker, fiscal_period, mentioned): tickers of other companies that a text names in capitals."""
+    said = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TICKER), F.lit(1))))
+    known = companies.select(F.col("ticker").alias("mentioned")).distinct()
+    return chunks.select("chunk_id", "ticker", "fiscal_period", said.alias("mentioned")).join(known, "mentioned").where(F.col("mentioned") != F.col("ticker")).select("chunk_id", "ticker", "fiscal_period", "mentioned").distinct()
+
+
+def extract(chunks: DataFrame, companies: DataFrame, outputs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of texts: competitors by the tickers they name, and what a model said of them.
+
+    ``outputs``: (chunk_id, ticker, output), a model's JSON for each text, if there is one.
+    Entities: chunk_id, ticker, name, entity_type; relationships: chunk_id, ticker, source, target, relation.
+    """
+    said = mentions(chunks, companies)
+    e = said.select("chunk_id", "ticker", fold(F.col("mentioned")).alias("name"), F.lit("COMPETITOR").alias("entity_type"))
+    r = said.select("chunk_id", "ticker", fold(F.col("ticker")).alias("source"), fold(F.col("mentioned")).alias("target"), F.lit("COMPETES_WITH").alias("relation"))
+    if outputs is not None:
+        more_e, more_r = parse_extraction(outputs)
+        e, r = e.unionByName(more_e), r.unionByName(more_r)
+    return e.distinct(), r.distinct()
 
 
-_EXTRACTED = "entities ARRAY<STRUCT<name: STRING, type: STRING>>, relationships ARRAY<STRUCT<source: STRING, target: STRING, relation: STRING>>"
+_EXTRACTED = "entities ARRAY<STRUCT<name: STRING, entity_type: STRING>>, relationships ARRAY<STRUCT<source: STRING, target: STRING, relation: STRING>>"
 
 
 def parse_extraction(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,6 +139,6 @@ def parse_extraction(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = d.select("chunk_id", "ticker", F.inline("j.entities")).where(fold(F.col("name")) != "")
     r = d.select("chunk_id", "ticker", F.inline("j.relationships")).where((fold(F.col("source")) != "") & (fold(F.col("target")) != ""))
     return (
-        e.select("chunk_id", "ticker", fold(F.col("name")).alias("name"), F.coalesce("type", F.lit("METRIC")).alias("entity_type")),
+        e.select("chunk_id", "ticker", fold(F.col("name")).alias("name"), F.coalesce("entity_type", F.lit("METRIC")).alias("entity_type")),
         r.select("chunk_id", "ticker", fold(F.col("source")).alias("source"), fold(F.col("target")).alias("target"), F.coalesce("relation", F.lit("MENTIONED_WITH")).alias("relation")),
     )

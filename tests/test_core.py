@@ -181,6 +181,43 @@ def test_dense_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.dense(q, v, 3).select("qid", "id", "rank").collect()} == want and len(want) == 30
 
 
+def test_budget_cut_is_the_head_of_the_block(spark):
+    b = spark.createDataFrame([("q", 1, "--- [1] T ---\n$1,250.5 million (U.S. GAAP); see\nthe  rest"), ("q", 2, "f")], "qid string, slot int, block string")
+    r = context.within_budget(b, 17).collect()
+    assert [(x.slot, x.tokens, x.block) for x in r] == [(1, 17, "--- [1] T ---\n$1,250.5 million")]
+
+
+def test_pages_are_parts_of_the_text(spark):
+    text = "$1,250.5 million (U.S. GAAP); see\nthe  table é " * 40
+    pages = spark.createDataFrame([(text,)], "t string").select(X.token_pages(F.col("t"), 7).alias("p")).first().p
+    assert pages == chunking.pages(text, 7)
+    at = 0
+    for p in pages:
+        at = text.index(p, at) + len(p)
+    docs = spark.createDataFrame([("1", "A", "d", "8-K", "## Outlook\n" + text)], "id string, ticker string, date string, doc_type string, text string")
+    parents = [r.text.split("]\n\n", 1)[1] for r in chunking.build_chunks(docs).where("chunk_type = 'parent'").collect()]
+    assert len(parents) > 1 and all(part in text for p in parents for part in p.split("\n\n")[-1:])
+
+
+def test_expand_with_a_limit_is_the_head_of_all(spark):
+    rnd = random.Random(8)
+    ents = spark.createDataFrame([(i, f"n{i}", "PRODUCT", "A", None, [f"c{rnd.randrange(25):02}" for _ in range(rnd.randint(0, 9))], None) for i in range(12)], "entity_id int, name string, entity_type string, ticker string, fiscal_period string, chunk_ids array<string>, aliases array<string>")
+    rels = spark.createDataFrame([(i, f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}", "HAS", "A", None, None) for i in range(20)], "rel_id int, source string, target string, relation string, ticker string, fiscal_period string, chunk_id string")
+    m = graph.merge_entities(ents)
+    matches = spark.createDataFrame([(q, f"n{rnd.randrange(12)}") for q in range(8) for _ in range(2)], "qid int, name string").distinct()
+    have = spark.createDataFrame([(q, f"c{rnd.randrange(25):02}") for q in range(8) for _ in range(q % 4)], "qid int, chunk_id string")
+    skip = spark.createDataFrame([("c03",), ("c11",)], "chunk_id string")
+    whole = {tuple(r) for r in graph.expand(matches, m, rels, have, skip=skip).where("pos <= 4").collect()}
+    assert whole == {tuple(r) for r in graph.expand(matches, m, rels, have, 4, skip).collect()} and len(whole) > 20
+
+
+def test_dense_edges(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [0.0, 3.0])], "id int, v array<float>")
+    q = spark.createDataFrame([("a", [3.0, 0.0]), ("z", [0.0, 0.0]), ("n", None)], "qid string, q array<float>")
+    assert [tuple(r) for r in retrieval.dense(q, v, 2).orderBy("rank").collect()] == [("a", 1, 1.0, 1), ("a", 2, 1.0, 2)]
+    assert retrieval.dense(q.limit(0), v, 2).count() == 0 and retrieval.dense(q, v.limit(0), 2).count() == 0
+
+
 def test_names_of_any_length(spark):
     long = "the very long name of a fund with twelve words in it"
     merged = spark.createDataFrame([(long, []), ("fund", [long + " more"]), ("acme", ["x, y & z"])], "name string, aliases array<string>")
