@@ -1017,8 +1017,8 @@ def asof_join(s, d):
 # ---- references and units -------------------------------------------------------------------------
 
 
-def _state(s, d):
-    return orphans.load(T(s, d, "relationships"), T(s, d, "entities"), T(s, d, "chunks"))
+def _references(s, d):
+    return orphans.probe(T(s, d, "relationships"), T(s, d, "entities"), T(s, d, "chunks"))
 
 
 _ORPHANS = f"""refs AS (
@@ -1042,12 +1042,39 @@ _ORPHANS = f"""refs AS (
 
 @query(f"WITH {_ORPHANS} SELECT rel_id, ref_field, state FROM orphans WHERE state IS NOT NULL")
 def p2_found(s, d):
-    return _state(s, d).orphans().select("rel_id", "ref_field", "state")
+    return orphans.orphans(_references(s, d)).select("rel_id", "ref_field", "state")
 
 
 @query(f"WITH {_ORPHANS} SELECT ref_table, fiscal_period, state, count(*) AS n_orphans FROM orphans WHERE state IS NOT NULL GROUP BY ALL")
 def p2_counts(s, d):
-    return _state(s, d).snapshot()
+    return orphans.counts(_references(s, d))
+
+
+_STEP = "greatest(1, ((epoch_us({0}) - lo) * 10 + (hi - lo - 1)) // (hi - lo))"
+_REPLAY = f"""r AS (
+  SELECT rel_id, unnest([{{'f': 'source', 't': 'entities', 's': coalesce(ticker, ''), 'k': {fold_sql("source")}}}, {{'f': 'target', 't': 'entities', 's': coalesce(ticker, ''), 'k': {fold_sql("target")}}}, {{'f': 'chunk_id', 't': 'chunks', 's': '', 'k': chunk_id}}]) AS x, extracted_at, fiscal_period FROM relationships
+), p AS (
+  SELECT 'entities' AS t, ticker AS s, {fold_sql("name")} AS k, extracted_at AS seen_at, deleted_at FROM entities WHERE name IS NOT NULL AND ticker IS NOT NULL
+  UNION ALL SELECT 'chunks', '', chunk_id, ingested_at, deleted_at FROM chunks WHERE chunk_id IS NOT NULL
+), ends AS (
+  SELECT min(epoch_us(x)) AS lo, max(epoch_us(x)) AS hi FROM (SELECT extracted_at AS x FROM r WHERE x.k IS NOT NULL AND trim(x.k) <> '' UNION ALL SELECT seen_at FROM p UNION ALL SELECT deleted_at FROM p WHERE deleted_at > seen_at OR seen_at IS NULL)
+), steps AS (SELECT CAST(unnest(range(1, 11)) AS INTEGER) AS step
+), rs AS (SELECT r.*, coalesce({_STEP.format("extracted_at")}, 1) AS came FROM r, ends WHERE x.k IS NOT NULL AND trim(x.k) <> ''
+), ps AS (SELECT p.*, coalesce({_STEP.format("seen_at")}, 1) AS came, CASE WHEN deleted_at IS NOT NULL THEN {_STEP.format("deleted_at")} END AS went FROM p, ends
+), facts AS (
+  SELECT step, t, s, k, bool_or(went IS NULL OR went > step) AS any_live, bool_or((went IS NULL OR went > step) AND seen_at IS NULL) AS timeless, min(CASE WHEN went IS NULL OR went > step THEN seen_at END) AS first_live
+  FROM ps JOIN steps ON came <= step GROUP BY ALL
+), known AS (
+  SELECT steps.step, rs.x.t AS ref_table, fiscal_period, CASE WHEN any_live IS NULL THEN 'missing' WHEN NOT any_live THEN 'deleted' WHEN NOT timeless AND first_live > extracted_at THEN 'late' END AS state
+  FROM rs JOIN steps ON came <= step LEFT JOIN facts ON facts.step = steps.step AND facts.t = rs.x.t AND facts.s = rs.x.s AND facts.k = rs.x.k
+)"""
+
+
+@query(f"WITH {_REPLAY} SELECT step, ref_table, fiscal_period, state, count(*) AS n_orphans FROM known WHERE state IS NOT NULL GROUP BY ALL")
+def p2_incremental(s, d):
+    """The tables in ten deltas of equal time through a store, with withdrawals, and the counts after each."""
+    store = orphans.OrphanStore(s, os.path.join(shared_folder(s), "orphans", uuid.uuid4().hex))
+    return orphans.replay(T(s, d, "relationships"), T(s, d, "entities"), T(s, d, "chunks"), store)
 
 
 @query()

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators.orphans import OrphanState, chunk_parents, entity_parents, references
+from quarrylight.operators.orphans import OrphanStore, references
 
 
 def read_events(spark: SparkSession, path: str, per_batch: int = 1) -> DataFrame:
@@ -40,8 +40,12 @@ def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append")
     q.awaitTermination()
 
 
-def orphan_batches(state: OrphanState, refs: DataFrame | None, entities: DataFrame | None, chunks: DataFrame | None) -> OrphanState:
-    """One micro-batch of the orphan state, for use in foreachBatch."""
-    parents = [p for p in (entity_parents(entities) if entities is not None else None, chunk_parents(chunks) if chunks is not None else None) if p is not None]
-    changes = parents[0].unionByName(parents[1]) if len(parents) == 2 else (parents or [None])[0]
-    return state.advance(references(refs) if refs is not None else None, changes)
+def orphan_stream(store: OrphanStore, stream: DataFrame, rows, checkpoint: str) -> None:
+    """Feed what a stream has into a store of references, then stop.
+
+    ``rows``: ``references``, ``entity_parents`` or ``chunk_parents``; a batch that is run
+    again after a failure has the same number, and the store knows it.
+    """
+    side = "refs" if rows is references else "parents"
+    feed = lambda df, n: store.apply(**{side: rows(df)}, batch=f"{rows.__name__}-{n}") and None
+    stream.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

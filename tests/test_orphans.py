@@ -3,6 +3,7 @@
 from datetime import datetime as D
 
 from quarrylight.operators import orphans
+from quarrylight.streaming import windows
 
 REL = "rel_id bigint, source string, target string, relation string, ticker string, fiscal_period string, chunk_id string, extracted_at timestamp_ntz"
 ENT = "entity_id bigint, name string, ticker string, extracted_at timestamp_ntz, deleted_at timestamp_ntz, state string"
@@ -38,33 +39,79 @@ def frames(spark):
     return rels, ents, chunks
 
 
-def got(state):
-    return {(r.rel_id, r.ref_field, r.state) for r in state.orphans().collect()}
+def got(refs):
+    return {(r.rel_id, r.ref_field, r.state) for r in orphans.orphans(refs).collect()}
 
 
 WANT = {(1, "target", "deleted"), (2, "source", "missing"), (2, "target", "late"), (2, "chunk_id", "late"), (4, "chunk_id", "missing"), (5, "source", "missing"), (5, "target", "missing")}
 
 
 def test_states(spark):
-    assert got(orphans.load(*frames(spark))) == WANT
+    assert got(orphans.probe(*frames(spark))) == WANT
 
 
-def test_steps_equal_one_load(spark):
+def test_snapshot_and_empty(spark):
     rels, ents, chunks = frames(spark)
-    s = orphans.OrphanState().advance(orphans.references(rels.limit(0)), orphans.entity_parents(ents.limit(0)).unionByName(orphans.chunk_parents(chunks.limit(0))))
-    s = s.advance(new_refs=orphans.references(rels.where("rel_id <= 2")))
-    assert ("missing") in {x[2] for x in got(s)}
-    s = s.advance(parent_changes=orphans.entity_parents(ents))
-    s = s.advance(new_refs=orphans.references(rels.where("rel_id > 2")), parent_changes=orphans.chunk_parents(chunks))
-    assert got(s) == WANT
-    # a withdrawal reopens what was resolved
-    s = s.advance(parent_changes=orphans.entity_parents(ents.where("entity_id = 1").selectExpr("entity_id", "name", "ticker", "extracted_at", "extracted_at as deleted_at")))
-    assert {(1, "source", "deleted"), (4, "source", "deleted")} <= got(s)
+    counts = {(r.ref_table, r.fiscal_period, r.state): r.n_orphans for r in orphans.counts(orphans.probe(rels, ents, chunks)).collect()}
+    assert counts[("entities", "Q1", "deleted")] == 1 and sum(counts.values()) == len(WANT)
+    assert orphans.orphans(orphans.probe(rels.limit(0), ents, chunks)).count() == 0
+    assert {r.state for r in orphans.orphans(orphans.probe(rels, ents.limit(0), chunks.limit(0))).collect()} == {"missing"}
 
 
-def test_snapshot_and_empty(spark):
+def agree(store):
+    """The snapshot says what the references say."""
+    want = {tuple(r) for r in orphans.counts(store.references()).collect()}
+    assert {tuple(r) for r in store.snapshot().collect()} == want
+
+
+def test_steps_equal_one_load(spark, tmp_path):
     rels, ents, chunks = frames(spark)
-    counts = {(r.ref_table, r.fiscal_period, r.state): r.n_orphans for r in orphans.load(rels, ents, chunks).snapshot().collect()}
-    assert counts[("entities", "Q1", "deleted")] == 1 and sum(counts.values()) == len(WANT)
-    assert orphans.load(rels.limit(0), ents, chunks).orphans().count() == 0
-    assert {r.state for r in orphans.load(rels, ents.limit(0), chunks.limit(0)).orphans().collect()} == {"missing"}
+    store = orphans.OrphanStore(spark, str(tmp_path / "o"))
+    assert store.snapshot().count() == 0 and store.references().count() == 0
+    store.apply(parents=orphans.entity_parents(ents.where("entity_id < 4")))  # parents before any reference
+    store.apply(refs=orphans.references(rels.where("rel_id <= 2")))
+    assert (1, "chunk_id", "missing") in got(store.references())
+    store.apply(parents=orphans.entity_parents(ents), batch="e-0")
+    store.apply(refs=orphans.references(rels), parents=orphans.chunk_parents(chunks))  # two references again
+    assert got(store.references()) == WANT and store.references().count() == 11
+    agree(store)
+    before = store._manifest()
+    store.apply(parents=orphans.entity_parents(ents.limit(0)), batch="e-0").apply(refs=orphans.references(rels.limit(0)))
+    assert store._manifest()["refs"] == before["refs"]
+    # a withdrawal reopens what was resolved, also beside the row itself in one delta, in any order
+    went = ents.where("entity_id = 1").selectExpr("entity_id", "name", "ticker", "extracted_at", "timestamp_ntz'2025-02-03 00:00:00' as deleted_at")
+    both = orphans.entity_parents(went).unionByName(orphans.entity_parents(ents.where("entity_id = 1")))
+    store.apply(parents=both)
+    assert {(1, "source", "deleted"), (4, "source", "deleted")} <= got(store.references())
+    agree(store)
+    # and a row that comes again resolves it again
+    store.apply(parents=orphans.entity_parents(ents.where("entity_id = 1")))
+    assert got(store.references()) == WANT
+
+
+def test_a_delta_touches_its_buckets_only(spark, tmp_path):
+    rels, ents, chunks = frames(spark)
+    store = orphans.OrphanStore(spark, str(tmp_path / "o"))
+    store.apply(orphans.references(rels), orphans.entity_parents(ents).unionByName(orphans.chunk_parents(chunks)))
+    before = store._manifest()
+    scans = lambda: store.references()._jdf.queryExecution().toString().count("FileScan")
+    first = scans()
+    for i in range(5):
+        store.apply(parents=orphans.entity_parents(ents.where("entity_id = 3")))
+    after = store._manifest()
+    moved = [b for b in after["refs"] if after["refs"][b] != before["refs"][b]]
+    assert len(moved) == 1 and scans() == first
+    # folders that no bucket names go
+    assert len(list((tmp_path / "o").iterdir())) <= 5
+
+
+def test_streams(spark, tmp_path):
+    rels, ents, chunks = frames(spark)
+    store = orphans.OrphanStore(spark, str(tmp_path / "o"))
+    for name, df, rows in (("c", chunks, orphans.chunk_parents), ("r", rels, orphans.references), ("e", ents, orphans.entity_parents)):
+        df.repartition(2).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        for _ in range(2):  # the second run finds nothing new
+            windows.orphan_stream(store, stream, rows, str(tmp_path / f"{name}-at"))
+    assert got(store.references()) == WANT
+    agree(store)
