@@ -83,3 +83,39 @@ def test_long_texts():
     assert units.base_value("money", "value", "$5" + " " * 300 + "million", [], None) == 5_000_000
     assert units.base_value("money", "value", "$5 million " + "as the company said in its release " * 20, [], None) is None
     assert units.base_value("money", "value", "word " * 20_000 + "7", [], None) is None
+
+
+@pytest.mark.parametrize(
+    "quantity,text,base,want",
+    [
+        ("rate", "$12 per kWh", "US cent per kilowatt-hour", 1200),
+        ("rate", "12 dollars per MWh", "US cent per kilowatt-hour", 1),
+        ("rate", "5 million dollars per tonne", "US dollar per kilogram", 5000),
+        ("money", "$12 per kWh", None, None),
+        ("money", "12 dollars per share", None, None),
+        ("money", "dollars per tonne 5", None, None),
+        ("energy", "3 kilowatt hours", None, 3),
+        ("energy", "3 megawatt-hours", None, 3000),
+        ("energy", "3 MW", None, None),
+        ("energy", "7.2 megajoules", None, 2),
+        ("power", "36 MWh per hour", "kilowatt", 36000),
+        ("area", "3 km²", None, 3000000),
+        ("area", "10 square feet", None, 1),
+        ("area", "1000 ft^2", None, 93),
+        ("area", "100 sq. yd", None, 84),
+        ("area", "10 feet", None, None),
+        ("volume", "2 cubic metres", "cubic metre", 2),
+        ("volume", "1000 ft³", "cubic metre", 28),
+        ("volume", "3 metres * metre * metre", "cubic metre", 3),
+        ("heat", "20 °C", "kelvin", 293),
+        ("heat", "68 °F", "degree celsius", 20),
+        ("heat", "300 kelvin", "celsius", 27),
+        ("heat", "−40 degrees Fahrenheit", "celsius", -40),
+        ("per_share", "$3 per thousand shares", None, 0),
+        ("per_share", "300 cents a share", None, None),
+        ("money", "5", "no such unit", None),
+        ("money", "5 thousand", "thousand US dollars", 5000),
+    ],
+)
+def test_algebra(quantity, text, base, want):
+    assert units.base_value(quantity, "value", text, [], None, base) == want
