@@ -20,6 +20,7 @@ QUERIES = {
     "p4_found": lambda s, d: pairs.defects(T(s, d, "eval_samples"), T(s, d, "eval_results"), T(s, d, "common_words")),
     "p6_found": lambda s, d: lines.repeated_line_numbers(T(s, d, "chunks")),
     "p6_lines": lambda s, d: lines.repeated_lines(T(s, d, "chunks")),
+    "p6_boilerplate": lambda s, d: lines.boilerplate(T(s, d, "chunks")),
     "p6_cleaned": lambda s, d: lines.without_repeated_lines(T(s, d, "chunks")),
     "p7_ids": lambda s, d: tokens.encode_documents(T(s, d, "documents")),
     "p8_mix": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets"))[0],
@@ -43,6 +44,8 @@ ORACLES = {
           SELECT ticker, line, chunk_id, count(*) AS n FROM folded GROUP BY ALL)
         SELECT f.ticker, f.line, count(DISTINCT f.chunk_id) AS n_chunks, count(DISTINCT {_fold("f.text")}) AS n_clusters, count(DISTINCT f."date") AS n_dates
         FROM folded f GROUP BY ALL HAVING count(DISTINCT f.chunk_id) >= 5""",
+    "p6_boilerplate": f"""WITH {_LINES} SELECT ticker, line, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT {_fold("text")}) AS n_clusters, count(DISTINCT "date") AS n_dates
+        FROM folded GROUP BY ALL HAVING n_clusters >= 5 AND n_dates >= 2""",
     "p6_cleaned": f"""WITH {_LINES}, hit AS (SELECT ticker, line FROM folded GROUP BY ALL HAVING count(DISTINCT chunk_id) >= 5),
         gone AS (SELECT chunk_id, list(DISTINCT line_no) AS nos FROM folded JOIN hit USING (ticker, line) GROUP BY ALL),
         latest AS (SELECT chunk_id, arg_max({{'ticker': ticker, 'text': text}}, coalesce(epoch_us(ingested_at), 0)) AS r FROM chunks WHERE chunk_id IS NOT NULL GROUP BY ALL)

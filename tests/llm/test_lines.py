@@ -45,6 +45,22 @@ def test_copies_do_not_count(spark):
     assert clean["c9"] == ("x", 2) and clean["c1"] == ("", 1)
 
 
+def test_a_republished_text_is_no_boilerplate(spark):
+    rows = [(f"c{i}", "A", "Our story\nSee notes" + ("\n" * (i % 3)), f"2024-01-{i:02}") for i in range(1, 8)]
+    rows += [(f"d{i}", "A", f"Story {'abcdefg'[i]}\nSEE notes", f"2024-02-{i + 1:02}") for i in range(6)]
+    df = spark.createDataFrame([(c, t, x, d, None, "clash") for c, t, x, d in rows], SCHEMA)
+    found = {r.line: (r.n_chunks, r.n_clusters, r.n_dates) for r in lines.repeated_lines(df).collect()}
+    assert found == {"our story": (7, 1, 7), "see notes": (13, 7, 13)}
+    assert [r.line for r in lines.boilerplate(df).collect()] == ["see notes"]
+    assert lines.repeated_line_numbers(df).count() == 20
+
+
+def test_more_lines_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_BROADCAST", 0)
+    rows = [(f"c{i}", "A", "Notice here\nmore") for i in range(6)]
+    assert lines.repeated_line_numbers(frame(spark, rows)).count() == 12 and lines.repeated_lines(frame(spark, rows)).count() == 2
+
+
 def test_empty(spark):
     df = frame(spark, [("a", "A", None)])
     assert lines.repeated_line_numbers(df).count() == 0
