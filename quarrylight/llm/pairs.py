@@ -2,7 +2,8 @@
 
 The checks run in order, and a pair has the first defect that holds: ``empty``,
 ``copied_question`` (a suffix automaton of the question measures how much of the
-answer it covers), ``refusal`` (an automaton of refusing phrases), then
+answer it covers), ``refusal`` (an automaton of refusing phrases and what a refusing
+sentence is made of; nothing but courtesy and sources may stand beside it), then
 ``other_language`` (votes of frequent words; against the language of the question
 count only those that one of the two has alone, with or without a leading label;
 at least two, and twice as many as speak for the question's) and ``truncated`` (ends, open
@@ -35,22 +36,30 @@ PLACEHOLDERS = frozenset(
     "null none nil nan na n/a n.a. undefined empty blank tbd todo tba pending missing placeholder answer a response reply "
     "no_answer no-answer unknown_answer error antwort réponse respuesta risposta lorem xxx test".split()
 ) | {"no answer", "not available", "no response", "keine antwort", "sin respuesta", "pas de réponse", "insert answer here", "your answer here", "answer here"}
-# Phrases in which an answer is refused, lower case, in en, de, fr and es.
+# How a speaker says that it cannot or will not, and what it then does not do; each of the first with each of the second is a refusing phrase.
+UNABLE = {
+    "en": ("can't", "cannot", "can not", "could not", "couldn't", "unable to", "not able to", "won't", "will not", "not permitted to", "not allowed to", "not in a position to", "must decline to", "have to decline to", "decline to", "refuse to", "rather not", "prefer not to", "not possible to", "no way to"),
+    "fr": ("ne peux pas", "ne pouvons pas", "ne puis", "ne suis pas en mesure de", "ne sommes pas en mesure de", "pas possible de", "impossible de", "refuse de", "dois refuser de", "pas autorisé à"),
+    "es": ("no puedo", "no podemos", "no me es posible", "no es posible", "no soy capaz de", "me niego a", "debo negarme a", "no estoy autorizado a", "no estoy autorizada a"),
+}
+SPEECH = {
+    "en": ("answer", "respond", "reply", "help", "assist", "provide", "share", "discuss", "comment", "say", "tell", "give", "offer", "disclose", "determine", "confirm", "guess", "speculate", "address", "advise", "find", "know"),
+    "de": ("beantworten", "antworten", "antwort", "helfen", "weiterhelfen", "sagen", "geben", "nennen", "mitteilen", "äußern", "auskunft", "bestimmen", "ermitteln", "beurteilen", "finden", "weiß", "ablehnen", "angaben"),
+    "fr": ("répondre", "réponse", "aider", "dire", "fournir", "donner", "indiquer", "communiquer", "préciser", "commenter", "déterminer", "trouver", "savoir", "sais"),
+    "es": ("responder", "respuesta", "contestar", "ayudar", "ayudarle", "decir", "dar", "ofrecer", "facilitar", "proporcionar", "comentar", "determinar", "indicar", "encontrar", "saber", "sé"),
+}
+# Words that put a thing out of reach.
+BEYOND = re.compile(r"\b(?:outside|beyond|außerhalb|hors|au-delà|fuera|más allá)\b")
+# Refusing phrases that are not made of these.
 REFUSALS = (
-    "can't help with", "cannot help with", "can not help with", "unable to help", "can't assist", "cannot assist", "unable to assist",
-    "can't answer", "cannot answer", "unable to answer", "not able to answer", "won't answer", "will not answer", "can't respond", "cannot respond",
-    "can't provide", "cannot provide", "unable to provide", "not able to provide", "can't share", "cannot share", "can't discuss", "cannot discuss",
-    "cannot comment", "can't comment", "unable to comment", "must decline", "have to decline", "i decline", "decline to",
-    "rather not say", "rather not answer", "prefer not to", "outside what i may", "outside my", "beyond what i", "beyond my", "not appropriate for me", "not be appropriate",
-    "against my guidelines", "against my policy", "against our policy", "not something i can", "something i cannot", "something i can't",
-    "won't be giving", "will not be giving", "no access to", "don't have access", "do not have access", "no answer is possible", "not possible to answer", "not possible for me",
-    "lets me answer", "allows me to answer", "not contain sufficient information", "not contain enough information", "insufficient information", "not enough information", "sufficient information to answer",
-    "i do not know", "i don't know", "no information available", "not permitted to", "not allowed to", "could not find any information", "couldn't find any information", "could not find an answer",
-    "kann diese frage nicht", "kann ich nicht", "kann ihnen nicht", "kann dazu keine", "kann dazu nichts", "kann ihnen dazu", "nicht beantworten", "keine antwort zu", "keine auskunft", "darf ich mich nicht", "nicht äußern", "nicht helfen", "muss ich ablehnen", "muss diese anfrage ablehnen", "anfrage ablehnen", "keine angaben machen", "keine informationen", "lassen keine antwort",
-    "ne peux pas", "ne suis pas en mesure", "ne puis", "pas possible de répondre", "dois refuser", "dois décliner", "refuser cette demande", "ne permettent pas", "ne permet pas de répondre", "pas autorisé", "pas d'informations suffisantes", "hors de mon", "ne dispose pas",
-    "no puedo", "no me es posible", "no es posible responder", "debo rechazar", "rechazar esta solicitud", "no permiten dar", "no permiten responder", "no estoy autorizad", "no dispongo", "no tengo acceso", "no tengo información", "fuera de lo que puedo",
-    "non posso", "non sono in grado", "isn't enough here", "is not enough here", "will not guess", "won't guess", "no answer can be given", "from what i was shown",
+    "outside my", "beyond my", "against my guidelines", "against my policy", "against our policy", "no access to", "insufficient information", "not enough information",
+    "muss ich ablehnen", "nicht in der lage", "keine auskunft", "hors de mon", "fuera de mi", "non posso", "non sono in grado",
 )
+# The one who speaks, what it can or will, and what it has or lacks.
+SPEAKER = re.compile(r"\b(?:i|i'm|i've|i'd|i'll|me|my|we|we're|ich|mir|mich|mein\w*|wir|uns|je|j'|moi|nous|mon|yo|mí|puedo|podemos|tengo|dispongo|debo|estoy)\b")
+WILLING = re.compile(r"\b(?:can|cannot|could|able|unable|will|won|must|may|permitted|allowed|possible|d[eé]clin\w*|refus\w*|kann|können|darf|möglich|lage|muss|ablehn\w*|lehn\w*|peux|peut|pouvons|puis|mesure|permet\w*|autoris\w*|dois|puedo|puede|podemos|posible|rechaz\w*|permit\w*|autoriz\w*|debo)\b")
+SAID = re.compile(r"\b(?:" + "|".join(sorted({w for ws in SPEECH.values() for w in ws})) + r"|answers|answering|answered|appropriate|lets?|allows?|guidelines?)\b")
+DENIED = re.compile(r"\b(?:d[eé]clin\w*|refus\w*|ablehn\w*|lehne|rechaz\w*|unable|insufficient|impossible|insuffisante?s?|insuficientes?|unzureichend\w*)\b")
 # Openings of an apology or of an assistant, and negations; both together refuse.
 APOLOGIES = re.compile(r"\b(?:sorry|unfortunately|sadly|apologi[sz]e|regret|i'm afraid|automated assistant|language model|ai assistant|leider|tut mir leid|bedauer\w*|désolé\w*|malheureusement|regrett\w*|lo siento|lamento|por desgracia|lamentablemente)\b")
 NEGATIONS = re.compile(r"\b(?:not?|cannot|never|nothing|none|unable|decline|nicht|kein\w*|nichts|ne|pas|aucune?|sin|ning\w+|nada)\b|n't\b")
@@ -153,12 +162,30 @@ def _automaton(question: str) -> SuffixAutomaton:
 @lru_cache(maxsize=1)
 def _refusals() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for p in REFUSALS:
+    made = [f"{x} {y}" for lang, xs in UNABLE.items() for x in xs for y in SPEECH[lang]]
+    for p in (*REFUSALS, *made):
         a.add_word(p, len(p))
     a.make_automaton()
     return a
 
 
+def refuses(sentence: str) -> bool:
+    """A sentence in lower case that declines: by a phrase, or by what it is made of.
+
+    The latter is a negation or a denial together with two of: an apology, the one who
+    speaks (with what it can or will), a verb of answering, the sources it speaks of.
+    """
+    if next(_refusals().iter(sentence), None) is not None:
+        return True
+    denied = bool(DENIED.search(sentence))
+    if not denied and not NEGATIONS.search(sentence) and not BEYOND.search(sentence):
+        return False
+    sorry, speaker, said, source = bool(APOLOGIES.search(sentence)), bool(SPEAKER.search(sentence)), bool(SAID.search(sentence)), bool(SOURCES.search(sentence))
+    if sorry or (speaker and denied):
+        return True
+    return sum((speaker, said, source, speaker and bool(WILLING.search(sentence)))) >= 2
+
+
 def _plain(text: str) -> str:
     """Letters and figures only, in lower case, words set apart by one blank."""
     return " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", text).lower()))
@@ -176,9 +203,9 @@ def is_copy(question: str, answer: str) -> bool:
     q, a = _plain(question), _plain(answer)
     a = re.sub(r"^(?:(?:q|a|question|answer|frage|antwort|pregunta|respuesta|réponse)\s+)+", "", a)
     q = re.sub(r"^(?:(?:q|question|frage|pregunta)\s+)+", "", q)
-    if len(q) < 8 or not a:
+    if not q or not a:
         return False
-    covered, longest = _automaton(q).coverage(a, min(12, max(6, len(q) // 4)))
+    covered, longest = _automaton(q).coverage(a, min(len(q), 12, max(6, len(q) // 4)))
     return covered >= 0.9 and longest >= 0.6 * len(q)
 
 
@@ -186,24 +213,24 @@ def is_refusal(answer: str, question: str | None = None) -> bool:
     """Refuses, and every other sentence is courtesy, advice or talk about the question; figures of the question and item numbers are no answer."""
     s = _CITED.sub("", answer.lower()).replace("’", "'").replace("ʼ", "'")
     asked = set(_AMOUNT.findall((question or "").lower()))
-    refuses = False
+    declined = False
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", s):
         said = _NUMBERED.sub("", _NO_FIGURES.sub(" ", sentence))
         if not any(c.isalpha() for c in said) and not _FIGURE.search(said):
             continue
         if any(x not in asked for x in _AMOUNT.findall(said)):
             return False
-        if next(_refusals().iter(sentence), None) is not None or (APOLOGIES.search(sentence) and NEGATIONS.search(sentence)):
-            refuses = True
+        if refuses(sentence):
+            declined = True
         elif not (sentence.rstrip().endswith("?") or APOLOGIES.search(sentence) or COURTESIES.search(sentence) or (SOURCES.search(sentence) and NEGATIONS.search(sentence))):
             return False
-    return refuses
+    return declined
 
 
 def figure_alone(answer: str) -> bool:
     s = _CITED.sub("", answer.strip().strip("*_`").strip())
     words = [w for w in re.findall(r"[^\W_]+", s) if not any(c.isdigit() for c in w)]
-    return bool(_FIGURE.search(s)) and len(s) <= 60 and all(_FIGURE_WORDS.match(w) for w in words) and s.rstrip()[-1:] not in ",:;(–-…" and not s.endswith("...")
+    return bool(_FIGURE.search(s)) and all(_FIGURE_WORDS.match(w) for w in words) and s.rstrip()[-1:] not in ",:;(–-…" and not s.endswith("...")
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "»": "«"}

@@ -114,3 +114,30 @@ LONG = "I'm sorry, but I can't help with that request. " + "Thank you for your u
 )
 def test_refusals_by_sentence(answer, want):
     assert pairs.is_refusal(answer, "Was net income 12.5 million?") is want
+
+
+# written for this test, of words that no list holds as a phrase
+HELD_OUT = [
+    "I am sorry, that is nothing I could tell you.", "My rules do not let me say more about it.", "We are unable to speak to this matter.", "That lies outside the things I may comment on.",
+    "Nothing in the excerpts helps me to determine it.", "I won't speculate about that.", "The passages hold no data from which I might answer.",
+    "Dazu darf ich Ihnen leider nichts sagen.", "Ich bin nicht befugt, das zu beantworten.", "Die Unterlagen geben mir keine Antwort darauf.",
+    "Je regrette de ne pas savoir vous aider.", "Nous ne sommes pas autorisés à donner cette réponse.", "Les documents ne me permettent pas de répondre.",
+    "Lamento no saber qué responder.", "Los documentos no me dejan determinar la respuesta.", "No estoy en condiciones de decir eso.",
+]
+ANSWERS = [
+    "The board did not change the outlook.", "Management said that demand was not affected.", "Export licences were refused for two product lines.", "Revenue fell because no new orders came in.",
+    "The company cannot ship to the region before the licence is granted.", "Growth was beyond the plan in every region.", "Das Unternehmen hat keine neue Prognose genannt.", "La direction n'a pas relevé ses prévisions.",
+    "La empresa no cambió sus previsiones.", "Nothing was said about dividends, while the buyback goes on.", "Unable to pass on higher costs, the segment lost share.",
+]
+
+
+def test_held_out_refusals():
+    missed = [x for x in HELD_OUT if not pairs.is_refusal(x)]
+    assert len(missed) <= 2, missed
+    assert [x for x in ANSWERS if pairs.is_refusal(x)] == []
+
+
+def test_no_caps():
+    assert pairs.is_refusal("I am sorry, I cannot answer. " + "Please consult the filing itself for further detail. " * 50)
+    assert pairs.is_copy("Why Q3?", "Why Q3?") and not pairs.is_copy("Why Q3?", "Because of Q3 demand.")
+    assert pairs.figure_alone("about " * 30 + "$5 million")
