@@ -48,7 +48,9 @@ GRAM_BUCKETS = 1 << 16
 COMMON_SHARE = 0.002
 PERSON, FIRM = "PERSON", "COMPETITOR"
 
-# Short forms of given names.
+#: Short forms that the aliases of rows give for names of so many families, or more, are learned; the most that are kept.
+LEARN_FROM, MOST_LEARNED = 2, 100_000
+# Short forms of given names, the default of the parameter ``nicknames``.
 NICKNAMES = {
     "alexandra": "sasha alex lexi sandra", "anthony": "tony ant", "charles": "chuck charlie", "deborah": "deb debbie debby", "edward": "ned eddie ed ted",
     "elizabeth": "liz beth betty eliza lizzie", "francis": "frank fran", "gregory": "greg", "hendrik": "henk rik", "ingrid": "inga", "james": "jim jimmy jamie",
@@ -59,11 +61,6 @@ NICKNAMES = {
     "daniel": "dan danny", "david": "dave davy", "donald": "don donny", "jennifer": "jen jenny", "john": "jack johnny", "joseph": "joe joey", "kenneth": "ken kenny",
     "matthew": "matt", "nicholas": "nick nicky", "peter": "pete", "philip": "phil", "samuel": "sam sammy", "stephen": "steve", "thomas": "tom tommy", "timothy": "tim",
 }
-#: Short forms of two names stand for either: the first name listed here wins only where both agree.
-_SHORT: dict[str, set[str]] = {}
-for _name, _shorts in NICKNAMES.items():
-    for _s in _shorts.split():
-        _SHORT.setdefault(_s, set()).add(_name)
 # Titles and suffixes of persons.
 TITLES = frozenset("mr mrs ms miss dr prof professor sir dame lord lady hon rev herr frau mme mlle sr sra jr snr ii iii iv phd md mba cfa esq chair chairman chairwoman ceo cfo coo cto president director vp".split())
 # Legal forms and words that firms add.
@@ -126,8 +123,15 @@ def slips(a: str, b: str, most: int = 1) -> int:
 class Reader:
     """Reads spellings into (anchor, qualifier, initials, short form); ``turned`` gives the anchor of a firm in sorted order of its words."""
 
-    def __init__(self, common: dict[str, frozenset[str]]):
-        givens = {*NICKNAMES, *_SHORT} | {w for w in common.get(PERSON, ()) if len(w) >= 3 and w not in TITLES}
+    def __init__(self, common: dict[str, frozenset[str]], nicknames: dict[str, str] | None = None):
+        nicknames = NICKNAMES if nicknames is None else nicknames
+        self.names = frozenset(nicknames)
+        # a short form of two names stands for either
+        self.short: dict[str, set[str]] = {}
+        for name, forms in nicknames.items():
+            for x in forms.split():
+                self.short.setdefault(x, set()).add(name)
+        givens = {*self.names, *self.short} | {w for w in common.get(PERSON, ()) if len(w) >= 3 and w not in TITLES}
         self.givens = frozenset(givens)
         self.trades = frozenset({*_TRADE, "and"} | {w for w in common.get(FIRM, ()) if len(w) >= 3 and w not in LEGAL})
         self._given = lru_cache(100_000)(self._given)
@@ -136,22 +140,22 @@ class Reader:
     def _near(self, w: str, words: frozenset[str]) -> str | None:
         """The one word a slip away, if it is long enough for a slip to be seen."""
         hits = {x for x in words if len(x) >= 4 and slips(w, x) == 1} if len(w) >= 4 else set()
-        full = {x for x in hits if x in NICKNAMES or x in TRADES} or hits
+        full = {x for x in hits if x in self.names or x in TRADES} or hits
         return min(full) if full else None
 
     def _given(self, w: str) -> str | None:
         """The given name a token stands for; several short forms are kept apart by '/'."""
-        if w in NICKNAMES:
+        if w in self.names:
             return w
-        if w in _SHORT:
-            return "/".join(sorted(_SHORT[w]))
-        near = self._near(w, frozenset(NICKNAMES))
+        if w in self.short:
+            return "/".join(sorted(self.short[w]))
+        near = self._near(w, self.names)
         if near:
             return near
         if w in self.givens:
             return w
         near = self._near(w, self.givens)
-        return (self._given(near) if near in _SHORT else near) if near else None
+        return (self._given(near) if near in self.short else near) if near else None
 
     def _trade(self, w: str) -> str | None:
         if w in _TRADE:
@@ -244,9 +248,9 @@ class Reader:
 _READ = T.StructType([T.StructField(c, T.StringType()) for c in ("anchor", "qual", "initial", "short", "turned")])
 
 
-def _reader(common: dict[str, frozenset[str]]):
+def _reader(common: dict[str, frozenset[str]], nicknames: dict[str, str]):
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        reader = Reader(common)
+        reader = Reader(common, nicknames)
         for kinds, spellings in batches:
             yield pd.DataFrame([(*reader.read(k, s), reader.turned(k, s)) for k, s in zip(kinds, spellings, strict=True)], columns=_READ.names)
 
@@ -352,12 +356,38 @@ def _close(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return labels
 
 
-def members(entities: DataFrame) -> DataFrame:
-    """(entity_id, ticker, kind, cluster, links): the class of each row of persons and firms, and how many spellings its own is linked to."""
+def _learned(mentions: DataFrame, common: dict[str, frozenset[str]], nicknames: dict[str, str]) -> dict[str, str]:
+    """The short forms with those that aliases tell: two given names of one row and family, in ``LEARN_FROM`` families or more.
+
+    The more frequent of the two counts as the name.  Slips are none, and neither are names that both are in the list.
+    """
+    read = F.pandas_udf(_reader(common, nicknames), _READ)
+    several = mentions.where(F.col("kind") == PERSON).groupBy("entity_id", "ticker").agg(F.collect_set("spelling").alias("all")).where(F.size("all") > 1)
+    rows = several.select("entity_id", "ticker", F.explode("all").alias("spelling")).select("entity_id", "ticker", read(F.lit(PERSON), "spelling").alias("r"))
+    given = rows.select("entity_id", "ticker", "r.anchor", "r.qual").where((F.length("qual") > 2) & ~F.contains("qual", F.lit("/"))).distinct()
+    both = given.join(given.withColumnRenamed("qual", "other"), ["entity_id", "ticker", "anchor"]).where(F.col("qual") < F.col("other"))
+    told = both.select("qual", "other", "ticker", "anchor").distinct().groupBy("qual", "other").count().where(F.col("count") >= LEARN_FROM)
+    often = given.groupBy("qual").agg(F.count("*").alias("n"))
+    pairs = told.join(often.withColumnRenamed("n", "na"), "qual").join(often.select(F.col("qual").alias("other"), F.col("n").alias("nb")), "other").limit(MOST_LEARNED + 1).collect()
+    if len(pairs) > MOST_LEARNED:
+        raise ValueError(f"more than {MOST_LEARNED} learned short forms")
+    out = dict(nicknames)
+    for r in sorted(pairs, key=lambda r: (r["qual"], r["other"])):
+        name, short = (r["qual"], r["other"]) if r["na"] >= r["nb"] else (r["other"], r["qual"])
+        if slips(name, short) > 1 and not (name in nicknames and short in nicknames):
+            out[name] = f"{out.get(name, '')} {short}".strip()
+    return out
+
+
+def members(entities: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
+    """(entity_id, ticker, kind, cluster, links): the class of each row of persons and firms, and how many spellings its own is linked to.
+
+    ``nicknames``: short forms of given names, the fixed ones if none are given; those that aliases tell are added.
+    """
     mentions = _mentions(entities)
     spellings = mentions.select("ticker", "kind", "spelling").distinct()
     common = _common(spellings)
-    read = F.pandas_udf(_reader(common), _READ)
+    read = F.pandas_udf(_reader(common, _learned(mentions, common, NICKNAMES if nicknames is None else nicknames)), _READ)
     distinct = mentions.select("kind", "spelling").distinct().withColumn("r", read("kind", "spelling"))
     keyed = cut(
         mentions.join(distinct, ["kind", "spelling"])
@@ -468,13 +498,13 @@ def _rest(offered: DataFrame, around: DataFrame, aliases: DataFrame) -> DataFram
     return joined.join(single, "label", "left").select("own", F.coalesce("to", "single", "label").alias("label"))
 
 
-def classes(entities: DataFrame) -> DataFrame:
+def classes(entities: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
     """One row an entity: its class and the number of spellings its own is linked to."""
-    return members(entities).select("entity_id", "ticker", F.col("kind").alias("entity_type"), F.xxhash64("cluster").alias("class_id"), F.col("links").alias("n_links"))
+    return members(entities, nicknames).select("entity_id", "ticker", F.col("kind").alias("entity_type"), F.xxhash64("cluster").alias("class_id"), F.col("links").alias("n_links"))
 
 
-def same_pairs(entities: DataFrame) -> DataFrame:
+def same_pairs(entities: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
     """All pairs of rows of one class, smaller id first; the number of pairs is what was asked for."""
-    rows = cut(members(entities).select("cluster", "entity_id"))
+    rows = cut(members(entities, nicknames).select("cluster", "entity_id"))
     a, b = rows.select("cluster", F.col("entity_id").alias("entity_id_a")), rows.select("cluster", F.col("entity_id").alias("entity_id_b"))
     return a.join(b, "cluster").where(F.col("entity_id_a") < F.col("entity_id_b")).select("entity_id_a", "entity_id_b")

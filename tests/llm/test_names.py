@@ -155,3 +155,14 @@ def test_slips():
 def test_long_chain_closes(spark):
     edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)], "a string, b string")
     assert {r.label for r in names._close(edges).collect()} == {"n000"}
+
+
+def test_short_forms_are_learned_from_aliases(spark):
+    """Names that no list holds: two families tell the short form, and the third is linked by it."""
+    rows = [("borislava kerenatov", P, "T", ["slava kerenatov"]), ("slava dimotrev", P, "U", ["borislava dimotrev"]), ("borislava penkulov", P, "T", []), ("slava penkulov", P, "T", None), ("gorana penkulov", P, "T", [])]
+    assert pairs_of(spark, rows) == {(2, 3)}
+    assert pairs_of(spark, [rows[0], *rows[2:]]) == set()  # one family is not enough
+    df = spark.createDataFrame([(1, "richard kerenatov", P, "T", [], ""), (2, "dick kerenatov", P, "T", [], "")], SCHEMA)
+    assert names.same_pairs(df).count() == 1 and names.same_pairs(df, nicknames={}).count() == 0
+    df = spark.createDataFrame([(1, "borislava kerenatov", P, "T", [], ""), (2, "slava kerenatov", P, "T", [], "")], SCHEMA)
+    assert names.same_pairs(df, nicknames={"borislava": "slava boba"}).count() == 1
