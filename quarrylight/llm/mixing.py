@@ -4,7 +4,8 @@ Weights start from the natural token shares p of the sources; each source's
 up-weighting target / p is raised to an exponent, which is one if the budget
 lets every source reach its target within its repetition limit, and is bisected
 down otherwise.  ``temperature`` and ``exponent_for_entropy`` give the plain
-form, in which p itself is exponentiated.  A weight is realised in blocks: whole
+form, in which p itself is exponentiated.  With ``of_all`` the budget is that share
+of all tokens that the sources have, and then limits bind and the exponent is bisected.  A weight is realised in blocks: whole
 passes over the source, then the head of a pass in hashed order up to the budget.
 
 Defined results: a target of a source without tokens is reported with a reached
@@ -81,8 +82,11 @@ def _targets(targets: DataFrame) -> DataFrame:
     return targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.coalesce(F.min("max_repeats"), F.lit(0)).alias("max_repeats"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(used documents with tokens and uses, shares that were reached)."""
+def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42, path: str | None = None, of_all: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(used documents with tokens and uses, shares that were reached).
+
+    Without ``budget`` and ``of_all`` the targets are met exactly, and the scarcest source sets the size.
+    """
     spark = documents.sparkSession
     goals = _targets(targets)
     rows = goals.limit(MOST_SOURCES + 1).collect()
@@ -99,6 +103,8 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     # at most sources x BUCKETS rows, whatever the corpus
     buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     have = {r["source"]: r["tokens"] for r in buckets.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    if of_all is not None:
+        budget = floor(of_all * sum(have.values()))
     draws, exponent = plan(have, {r["source"]: r["target_share"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows}, budget)
     passes = [(s, n // have[s], n % have[s]) for s, n in draws.items()]
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("full", T.LongType()), T.StructField("rest", T.LongType())])
@@ -123,3 +129,18 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     all_used = F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))  # one row a target source
     shares = shares.withColumn("reached_share", F.when(all_used > 0, F.col("tokens_used") / all_used).otherwise(F.lit(0.0))).withColumn("exponent", F.lit(exponent))
     return used, shares
+
+
+def balance(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, within_repeats, near_target) of the sources that have tokens, counted again from the used documents.
+
+    A share is near its target if it misses it by the longest document of the sources at most.
+    """
+    used, _ = mix(documents, targets)
+    n = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"), F.max("n_tokens").alias("longest"))
+    goals = _targets(targets).where((F.col("target_share") > 0) & (F.col("max_repeats") > 0))
+    met = n.join(goals, "source")
+    every = Window.partitionBy(F.lit(1))  # one row a target source
+    share, goal = F.col("tokens") / F.sum("tokens").over(every), F.col("target_share") / F.sum("target_share").over(every)
+    slack = F.max("longest").over(every) / F.sum("tokens").over(every)
+    return met.select("source", (F.col("repeats") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(share - goal) <= slack).alias("near_target"))

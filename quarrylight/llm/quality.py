@@ -35,11 +35,12 @@ _MARKER = re.compile(r"\s*(?:[-*+•▪◦·‣–—>]+|\(?(?:\d{1,4}|[A-Za-z]|
 #: A cell that holds a figure, a period or a mark for none.
 _CELL = re.compile(r"\(?[-−+$€£]?\d[\d.,' ]*\)?\s?%?|[QqHh][1-4] \d{4}|\d{4}|n/[ma]|[-–—]")
 _TAG = re.compile(r"</?(?:table|t[rdh]|tbody|thead)\b", re.I)
-_TAGS = re.compile(r"<[^<>]{1,80}>")
+_TAGS = re.compile(r"<[^<>]+>")
 _CODE = re.compile(r"function\s*\(|\breturn\b.*;|=>|\bvar\s+\w+\s*=|\bimport\s+\w+;|[{}];?\s*$|</?(?:div|span|script)|\);\s*$")
 _GARBLED = "�□■Ã©¢â€Â¤¦¬"
 _VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ")
-_END = re.compile(r"[.!?…:;][\"'”’»)\]]*\s*$")
+#: Marks that end a line, and what may close after them.
+_ENDS, _CLOSING = frozenset(".!?…:;"), "\"'”’»)]"
 _STOP = re.compile(r"[.!?][\"'”’»)\]]*(?:\s+|$)")
 _INLINE = re.compile(r" [|•·/–—] |[,;] |  +")
 _RUN = re.compile(r"(\S)\1{19,}")
@@ -89,7 +90,7 @@ def statistics(text: str, common: frozenset[str]) -> dict:
         "words": len(words),
         "mean_word": chars / len(words) if words else 0.0,
         "symbols": max(0.0, 1 - (sum(map(len, letters)) + digits) / chars) if chars else 0.0,
-        "ended": sum(1 for x in lines if _END.search(x[-12:])) / len(lines) if lines else 0.0,
+        "ended": sum(1 for x in lines if x.rstrip().rstrip(_CLOSING)[-1:] in _ENDS) / len(lines) if lines else 0.0,
         "common": sum(map(common.__contains__, letters)) / len(letters) if letters else 0.0,
         "split": (words, lines, letters, chars, digits),
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarrylight.llm import lines, mixing, names, pairs, quality, splitting, tokens
 from quarrylight.session import table as T
 
@@ -13,8 +15,9 @@ def _fold(c: str) -> str:
 
 
 QUERIES = {
-    "p1_found": lambda s, d: splitting.split_ids(T(s, d, "chunks"), T(s, d, "chunk_limits")),
-    "p1_pieces": lambda s, d: splitting.split_chunks(T(s, d, "chunks"), T(s, d, "chunk_limits")),
+    "p1_found": lambda s, d: splitting.split_ids(T(s, d, "chunks"), T(s, d, "chunk_limits"), T(s, d, "common_words")),
+    "p1_pieces": lambda s, d: splitting.split_chunks(T(s, d, "chunks"), T(s, d, "chunk_limits"), T(s, d, "common_words")),
+    "p1_reassembled": lambda s, d: splitting.reassembled(T(s, d, "chunks"), T(s, d, "chunk_limits"), T(s, d, "common_words")),
     "p3_found": lambda s, d: names.same_pairs(T(s, d, "entities")),
     "p3_classes": lambda s, d: names.classes(T(s, d, "entities")),
     "p4_found": lambda s, d: pairs.defects(T(s, d, "eval_samples"), T(s, d, "eval_results"), T(s, d, "common_words")),
@@ -25,8 +28,12 @@ QUERIES = {
     "p7_ids": lambda s, d: tokens.encode_documents(T(s, d, "documents")),
     "p8_mix": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets"))[0],
     "p8_shares": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets"))[1],
+    "p8_balance": lambda s, d: mixing.balance(T(s, d, "documents"), T(s, d, "mix_targets")),
+    "p8_tempered": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets"), of_all=1.0)[0],
+    "p8_tempered_shares": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets"), of_all=1.0)[1],
     "p9_found": lambda s, d: quality.not_prose(T(s, d, "documents"), T(s, d, "common_words")),
     "p9_stats": lambda s, d: quality.typed(T(s, d, "documents"), T(s, d, "common_words")),
+    "p9_figures": lambda s, d: quality.typed(T(s, d, "documents"), T(s, d, "common_words")).select("doc_id", "n_words", F.round("mean_word_length", 6).alias("mean_word_length")),
 }
 
 _LINES = f"""lines AS (
@@ -38,6 +45,9 @@ _LINES = f"""lines AS (
 
 ORACLES = {
     "p1_found": "SELECT DISTINCT chunk_id FROM chunks JOIN chunk_limits USING (chunk_type) WHERE length(text) > max_chars",
+    "p1_reassembled": "SELECT DISTINCT chunk_id, md5(text) AS text_md5, length(text) AS n_chars, TRUE AS within_limit, TRUE AS overlap_kept FROM chunks JOIN chunk_limits USING (chunk_type) WHERE length(text) > max_chars",
+    "p8_balance": "SELECT source, TRUE AS within_repeats, TRUE AS near_target FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
+    "p9_figures": f"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^{_WHITE[1:-2]}]+')), 0) AS n_words, round(list_avg(list_transform(regexp_extract_all(text, '[^{_WHITE[1:-2]}]+'), lambda x: length(x))), 6) AS mean_word_length FROM documents",
     "p6_found": f"""WITH {_LINES}, hit AS (SELECT ticker, line FROM folded GROUP BY ALL HAVING count(DISTINCT chunk_id) >= 5)
         SELECT DISTINCT chunk_id, line_no FROM folded JOIN hit USING (ticker, line)""",
     "p6_lines": f"""WITH {_LINES}, one AS (

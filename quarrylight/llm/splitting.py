@@ -1,10 +1,11 @@
 """Splitting oversized texts at natural boundaries.
 
 Breaks are ends of lines and of sentences.  Lexical cohesion at a break is the
-cosine of the word counts of the blocks on its two sides; the depth of a valley
-is how far cohesion rises again on either side.  Each piece ends at the deepest
-valley of its size window; a window without a break falls back to blanks, then
-to the limit itself.
+cosine of the word counts of the blocks on its two sides, without common words
+where a table of them is given; the depth of a valley is how far cohesion rises
+again on either side.  Each piece ends at the deepest valley of its whole size
+window, the last of equal ones; a window without a break falls back to blanks,
+then to the limit itself.
 
 Defined results: null texts, unknown or null chunk types and limits below one
 have nothing to split; a text of exactly the limit is not oversized; exact
@@ -40,12 +41,12 @@ def _cosine(a: Counter, b: Counter) -> float:
     return dot / sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values())) if dot else 0.0
 
 
-def valleys(text: str, block: int = 3) -> list[tuple[int, float]]:
+def valleys(text: str, block: int = 3, common: frozenset[str] = frozenset()) -> list[tuple[int, float]]:
     """(offset, depth) of each natural break; ``block`` units are compared on each side."""
     at = [m.end() for m in _BREAK.finditer(text) if 0 < m.end() < len(text)]
     if not at:
         return []
-    units = [Counter(w.lower() for w in _WORD.findall(text[a:b])) for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+    units = [Counter(w for w in _WORD.findall(text[a:b].lower()) if w not in common) for a, b in zip([0, *at], [*at, len(text)], strict=True)]
     cohesion = []
     left, right = Counter(), Counter()
     for u in units[1 : 1 + block]:
@@ -69,10 +70,10 @@ def valleys(text: str, block: int = 3) -> list[tuple[int, float]]:
     return [(at[i], rise_l[i] + rise_r[i] - 2 * cohesion[i]) for i in range(n)]
 
 
-def cut_points(text: str, limit: int, overlap: int, block: int = 3) -> list[tuple[int, int]]:
+def cut_points(text: str, limit: int, overlap: int, block: int = 3, common: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """(start, end) of the pieces; neighbours share exactly the overlap."""
     overlap = max(0, min(overlap, limit // 2))
-    breaks = valleys(text, block)
+    breaks = valleys(text, block, common)
     out, start, k = [], 0, 0
     while len(text) - start > limit:
         end = start + limit
@@ -80,16 +81,11 @@ def cut_points(text: str, limit: int, overlap: int, block: int = 3) -> list[tupl
         while k < len(breaks) and breaks[k][0] <= least:
             k += 1
         j = k
-        near, far = None, None
+        best = None
         while j < len(breaks) and breaks[j][0] <= end:
-            at, depth = breaks[j]
-            if at > start + limit // 2:
-                if near is None or depth >= near[1]:
-                    near = (at, depth)
-            elif far is None or depth >= far[1]:
-                far = (at, depth)
+            if best is None or breaks[j][1] >= best[1]:
+                best = breaks[j]
             j += 1
-        best = near or far
         if best:
             cut = best[0]
         else:
@@ -110,14 +106,30 @@ PIECES = pa.schema(
 PIECES_DDL = "chunk_id string, parent_id string, section_title string, chunk_type string, piece_no int, start_char bigint, n_chars int, piece string"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            for no, (a, b) in enumerate(cut_points(r["text"], r["max_chars"], r["overlap_chars"]), 1):
-                rows.append((r["chunk_id"], r["parent_id"], r["section_title"], r["chunk_type"], no, a, b - a, r["text"][a:b]))
-        cols = list(zip(*rows, strict=True)) or [()] * len(PIECES)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.int32(), pa.int64(), pa.int32(), pa.string()], strict=True)], names=PIECES.names)
+def _pieces(common: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for no, (a, b) in enumerate(cut_points(r["text"], r["max_chars"], r["overlap_chars"], common=common), 1):
+                    rows.append((r["chunk_id"], r["parent_id"], r["section_title"], r["chunk_type"], no, a, b - a, r["text"][a:b]))
+            cols = list(zip(*rows, strict=True)) or [()] * len(PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.int32(), pa.int64(), pa.int32(), pa.string()], strict=True)], names=PIECES.names)
+
+    return run
+
+
+#: The most rows of common words that are read to the driver.
+MOST_WORDS = 50_000
+
+
+def _common(common_words: DataFrame | None) -> frozenset[str]:
+    if common_words is None:
+        return frozenset()
+    rows = common_words.where(F.col("word").isNotNull()).select(F.lower("word")).distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} common words")
+    return frozenset(r[0] for r in rows)
 
 
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -130,12 +142,25 @@ def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     )
 
 
-def split_chunks(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """The pieces of every oversized chunk, numbered from 1."""
+def split_chunks(chunks: DataFrame, limits: DataFrame, common_words: DataFrame | None = None) -> DataFrame:
+    """The pieces of every oversized chunk, numbered from 1; ``common_words`` (word) tell no topic."""
     cols = ["chunk_id", "parent_id", "section_title", "chunk_type", "text", F.col("max_chars").cast("int").alias("max_chars"), F.col("overlap_chars").cast("int").alias("overlap_chars")]
-    return oversized(chunks, limits).select(*cols).mapInArrow(_pieces, PIECES_DDL)
+    return oversized(chunks, limits).select(*cols).mapInArrow(_pieces(_common(common_words)), PIECES_DDL)
 
 
-def split_ids(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+def split_ids(chunks: DataFrame, limits: DataFrame, common_words: DataFrame | None = None) -> DataFrame:
     """chunk_id of every chunk that came out in pieces."""
-    return split_chunks(chunks, limits).where(F.col("piece_no") == 1).select("chunk_id").distinct()
+    return split_chunks(chunks, limits, common_words).where(F.col("piece_no") == 1).select("chunk_id").distinct()
+
+
+def reassembled(chunks: DataFrame, limits: DataFrame, common_words: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, text_md5, n_chars, within_limit, overlap_kept) of the texts as their pieces give them back."""
+    lim = limits.groupBy("chunk_type").agg(F.min("max_chars").alias("most"), F.coalesce(F.min("overlap_chars"), F.lit(0)).alias("shared"))
+    shared = F.least("shared", F.floor(F.col("most") / 2)).cast("int")
+    parts = split_chunks(chunks, limits, common_words).join(lim, "chunk_type").select("chunk_id", "most", shared.alias("shared"), F.struct("piece_no", "start_char", "n_chars", "piece").alias("p"))
+    whole = parts.groupBy("chunk_id", "most", "shared").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    text = F.array_join(F.transform("ps", lambda p, i: F.when(i == 0, p["piece"]).otherwise(p["piece"].substr(F.col("shared") + 1, p["n_chars"]))), "")
+    pairs = F.arrays_zip(F.slice("ps", F.lit(1), F.size("ps") - 1).alias("a"), F.slice("ps", F.lit(2), F.size("ps") - 1).alias("b"))
+    kept = F.forall(pairs, lambda x: (x["b"]["start_char"] == x["a"]["start_char"] + x["a"]["n_chars"] - F.col("shared")) & (x["a"]["piece"].substr(x["a"]["n_chars"] - F.col("shared") + 1, F.col("shared")) == x["b"]["piece"].substr(F.lit(1), F.col("shared"))))
+    fits = F.forall("ps", lambda p: (p["n_chars"] <= F.col("most")) & (F.length(p["piece"]) == p["n_chars"]))
+    return whole.select("chunk_id", text.alias("text"), fits.alias("within_limit"), kept.alias("overlap_kept")).select("chunk_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"), "within_limit", "overlap_kept")

@@ -57,3 +57,7 @@ def test_speed_on_long_text():
     for t in ("a" * 500_000, "ab " * 200_000, "x\n" * 200_000, ". " * 200_000, "| 1 " * 100_000):
         quality.measures(t, COMMON)
     assert time.time() - began < 60
+
+
+def test_ends_of_long_and_blank_tails():
+    assert quality.statistics("One two." + " " * 50 + "\nThree" + ")" * 40 + "\nFour.” )" + "”" * 30, COMMON)["ended"] == 1 / 3

@@ -63,3 +63,20 @@ def test_operator(spark):
     assert by["c"][0].parent_id == "p" and by["a"][0].section_title == "t"
     assert {r.chunk_id for r in splitting.split_ids(chunks, limits).collect()} == {"a", "c", None}
     assert splitting.split_chunks(chunks.limit(0), limits).count() == 0
+
+
+def test_the_whole_window_is_searched():
+    cats, ships = "the cat chased another cat and purring kittens. ", "the ship sailed with another ship and loaded cargo. "
+    # the change of topic lies in the first third of the window
+    text = cats * 3 + ships * 12
+    assert splitting.cut_points(text, len(ships) * 10, 0, common=frozenset("the with and another".split()))[0][1] == len(cats) * 3
+
+
+def test_reassembled(spark):
+    rows = [("a", "One two three. " * 40, "child"), ("b", "y" * 101, "child"), ("c", "short", "child"), ("d", None, "child")]
+    chunks = spark.createDataFrame([(c, None, None, k, t) for c, t, k in rows], "chunk_id string, parent_id string, section_title string, chunk_type string, text string")
+    limits = spark.createDataFrame([("child", 100, 10)], "chunk_type string, max_chars bigint, overlap_chars bigint")
+    import hashlib
+
+    got = {tuple(r) for r in splitting.reassembled(chunks, limits).collect()}
+    assert got == {(c, hashlib.md5(t.encode()).hexdigest(), len(t), True, True) for c, t, _ in rows[:2]}

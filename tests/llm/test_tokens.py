@@ -79,3 +79,14 @@ def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats bigint")
     used, shares = mixing.mix(docs_of(spark, [("a", None)]), targets)
     assert used.count() == 0 and shares.first()["reached_share"] == 0
+
+
+def test_limits_bend_the_exponent(spark):
+    rows = [("a", "word " * 10)] * 300 + [("b", "word " * 10)] * 20
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats bigint")
+    shares = {r.source: r for r in mixing.mix(docs_of(spark, rows), targets, of_all=1.0)[1].collect()}
+    assert 0 < shares["b"].exponent < 1 and shares["b"].most_repeats == 2 and shares["a"].most_repeats == 1
+    # the scarce source is used up to its limit, and the whole is what the sources hold
+    have = sum(r.tokens_available for r in shares.values())
+    assert abs(shares["b"].tokens_used - 2 * shares["b"].tokens_available) <= 11 and abs(sum(r.tokens_used for r in shares.values()) - have) <= 22
+    assert all(r.within_repeats and r.near_target for r in mixing.balance(docs_of(spark, rows), targets).collect())
