@@ -23,7 +23,8 @@ from itertools import chain
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,12 +163,25 @@ def encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def _shipped(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary along with the tasks, so that a worker needs no copy of its own; gives its name there."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _there(name: str, path: str) -> str:
+    sent = SparkFiles.get(name)
+    return sent if os.path.exists(sent) else path
+
+
 def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids of every row."""
     path = path or os.path.join(TOKENIZERS, VOCABULARY)
+    name = _shipped(documents.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(_there(name, path))
         for batch in batches:
             ids, ends = array("i"), array("i", [0])
             for text in batch.column(1).to_pylist():
@@ -180,9 +194,9 @@ def encode_documents(documents: DataFrame, path: str | None = None) -> DataFrame
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def _counts(path: str):
+def _counts(name: str, path: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = encoder(path)
+        bpe = encoder(_there(name, path))
         for texts in batches:
             yield pd.Series([bpe.count(t) for t in texts], dtype="int64")
 
@@ -193,5 +207,5 @@ def count_tokens(documents: DataFrame, *keep: str, path: str | None = None) -> D
     """The columns ``keep`` and n_tokens of every row."""
     path = path or os.path.join(TOKENIZERS, VOCABULARY)
 
-    n_tokens = F.pandas_udf(_counts(path), T.LongType())
+    n_tokens = F.pandas_udf(_counts(_shipped(documents.sparkSession, path), path), T.LongType())
     return documents.select(*keep, F.coalesce(n_tokens("text"), F.lit(0)).alias("n_tokens"))
