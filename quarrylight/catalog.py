@@ -21,6 +21,7 @@ from quarrylight.operators import chunking, context, corrective, evaluation, gra
 from quarrylight.plans import pipeline
 from quarrylight.session import shared_folder, stamp
 from quarrylight.session import table as T
+from quarrylight.sources import files
 from quarrylight.sources.index import LexicalIndex
 from quarrylight.streaming import windows
 
@@ -201,11 +202,17 @@ _VARIANTS = f"""{_CHILDREN}, questions AS (SELECT sample_id AS qid, min(question
     fused AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, min(seen) AS first_seen FROM every GROUP BY qid, id)"""
 
 
+@query(f"WITH {_CHILDREN}, {_QUESTIONS}, {_bm25_sql('children')}, {_top_sql('scored', 1)} SELECT qid, t.id, md5(text) AS text_md5 FROM top t JOIN children USING (id)")
+def hyde_texts(s, d):
+    """The default stand-in for a hypothetical answer: the text that fits the question's words best."""
+    return pipeline.hypothetical(_questions(s, d), _children(s, d), _index(s, d, "children")).select("qid", "id", F.md5("question").alias("text_md5"))
+
+
 @query(f"WITH {_VARIANTS} SELECT qid, id, rrf_score, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, first_seen, id) AS pos FROM fused) WHERE pos <= 5")
 def hybrid_multi_variant(s, d):
     """Each question with a stepped-back variant: two lists of one source, fused."""
     q = _questions(s, d)
-    back = q.select("qid", F.regexp_replace("question", r"Q[1-4] \d{4}", "recent quarters").alias("question"))
+    back = q.select("qid", router.stepback(F.col("question")).alias("question"))
     lists = [("bm25", _index(s, d, "children").search(x, 10)) for x in (q, back)]
     return retrieval.best_fused(retrieval.fuse(lists), 5).select("qid", "id", "rrf_score", "pos")
 
@@ -305,6 +312,47 @@ def pick_best_document(s, d):
     return ingest.best_document(docs)
 
 
+@query("SELECT 'entity' AS kind, entity_type AS name, count(*) AS n, coalesce(sum(len(chunk_ids)), 0)::BIGINT AS n_chunks FROM entities GROUP BY ALL UNION ALL SELECT 'edge', relation, count(*), count(chunk_id) FROM relationships GROUP BY ALL")
+def graph_round_trip(s, d):
+    """Entities and relationships written as JSON graphs and read again."""
+    at = os.path.join(shared_folder(s), "graphs", uuid.uuid4().hex)
+    files.write_graph(T(s, d, "entities"), T(s, d, "relationships"), at)
+    e, r = files.read_graph(s, at)
+    n = e.groupBy(F.lit("entity").alias("kind"), F.col("entity_type").alias("name")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0)).alias("n_chunks"))
+    return n.unionByName(r.groupBy(F.lit("edge").alias("kind"), F.col("relation").alias("name")).agg(F.count("*").alias("n"), F.count("chunk_id").alias("n_chunks")))
+
+
+@query("SELECT DISTINCT result_id, generated_answer AS answer, len(context_chunks)::INTEGER AS n_chunks, round(latency_seconds, 3) AS latency_seconds, coalesce(pipeline_failed, FALSE) AS failed, error_message AS error FROM eval_results")
+def result_round_trip(s, d):
+    r = T(s, d, "eval_results")
+    text = files.result_json(id=F.col("result_id"), answer=F.col("generated_answer"), chunks=F.col("context_chunks"), latency_seconds=F.col("latency_seconds"), failed=F.coalesce("pipeline_failed", F.lit(False)), error=F.col("error_message"))
+    back = r.select(files.result_from_json(text).alias("x"))
+    return back.select(F.col("x.id").alias("result_id"), "x.answer", F.when(F.col("x.chunks").isNotNull(), F.size("x.chunks")).alias("n_chunks"), "x.latency_seconds", "x.failed", "x.error").distinct()
+
+
+@query("SELECT chunk_id AS name FROM (SELECT DISTINCT chunk_id FROM chunks WHERE ticker IS NULL OR ticker <> 'QVRN') WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE ticker = 'QVRN' AND chunk_id IS NOT NULL)")
+def checkpoint_pending(s, d):
+    """What is left after the chunks of one ticker were marked as done, half by half."""
+    at = os.path.join(shared_folder(s), "done", uuid.uuid4().hex)
+    names = T(s, d, "chunks").select(F.col("chunk_id").alias("name"), "ticker").distinct()
+    half = F.pmod(F.hash("name"), F.lit(2))
+    for i in (0, 1):
+        files.mark_done(s, ingest.pending(names.where((F.col("ticker") == "QVRN") & (half == i)), files.read_done(s, at), "name"), at)
+    return ingest.pending(names, files.read_done(s, at), "name").select("name").distinct()
+
+
+@query("SELECT doc_id, ticker || '_' || filed_on || '_' || substr(replace(md5(source), '-', ''), 1, 10) || '.htm' AS name FROM documents WHERE ticker IS NOT NULL AND filed_on IS NOT NULL AND source IS NOT NULL")
+def filing_names(s, d):
+    """The hash of the source stands in for an accession number."""
+    docs = T(s, d, "documents").where(F.col("ticker").isNotNull() & F.col("filed_on").isNotNull() & F.col("source").isNotNull())
+    return docs.select("doc_id", files.filing_name(F.col("ticker"), F.col("filed_on"), F.md5("source")).alias("name"))
+
+
+@query("SELECT result_id, CASE WHEN latency_seconds < 1 THEN CAST(CAST(round(latency_seconds * 1000) AS INTEGER) AS VARCHAR) || 'ms' ELSE printf('%.2f', round(latency_seconds, 2)) || 's' END AS shown FROM (SELECT DISTINCT result_id, latency_seconds FROM eval_results)")
+def latency_format(s, d):
+    return T(s, d, "eval_results").select("result_id", "latency_seconds").distinct().select("result_id", ingest.latency_label(F.col("latency_seconds")).alias("shown"))
+
+
 # ---- parsing and chunking ------------------------------------------------------
 
 
@@ -383,9 +431,10 @@ def semantic_sections(s, d):
     return chunking.sections(docs).select("id", F.col("seq").cast("bigint").alias("seq"), "title", F.md5("body").alias("body"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(CASE WHEN trim(text) = '' THEN 0 ELSE 1 + len(list_filter(ps[:-2], lambda x: NOT regexp_matches(x, '(?i)" + chunking.ABBREVIATION + "'))) END AS INTEGER) AS n_sentences FROM p"
+)
 def sentence_split(s, d):
-    """Rows only: the SQL engine has no lookbehind; the tests hold it against a plain loop."""
     return T(s, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.size(chunking.sentences(F.col("text"))).alias("n_sentences"))
 
 
@@ -417,6 +466,22 @@ def child_chunks(s, d):
     return chunking.build_chunks(_filings(s, d)).where("chunk_type = 'child'").select("id", "chunk_id", "parent_id", "chunk_index", "child_index", F.md5("text").alias("text_md5"))
 
 
+_COVERED = f"""{_SECTIONS.replace("SELECT chunk_id, any_value(text) AS text FROM chunks WHERE text IS NOT NULL AND chunk_type <> 'child' GROUP BY chunk_id", "SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents WHERE text IS NOT NULL")},
+    b AS (SELECT id, body, len({_TOKENS.format('body')}) AS n, tab FROM s WHERE (tab OR len({_TOKENS.format('body')}) > 10) AND len(regexp_extract_all(body, '\\S+')) >= 10)"""
+
+
+@query(f"WITH {_COVERED} SELECT id, CAST(sum(CASE WHEN tab THEN 1 ELSE ceil(n / {chunking.PARENT_TOKENS}) END) AS BIGINT) AS n_pages, CAST(sum(CASE WHEN tab THEN 1 ELSE ceil(n / {chunking.PARENT_TOKENS}) END) AS BIGINT) AS n_kept FROM b GROUP BY id")
+def chunk_coverage(s, d):
+    """Every page of every section of a document stands in one of its chunks as it stood in its text."""
+    docs = _filings(s, d)
+    parts = chunking.sections(docs)
+    whole = (F.col("title") == "__TABLE__") | (X.token_count(F.col("body")) <= chunking.PARENT_TOKENS)
+    pages = parts.select("id", "seq", F.explode(F.when(whole, F.array("body")).otherwise(X.token_pages(F.col("body"), chunking.PARENT_TOKENS))).alias("page"))
+    texts = chunking.build_chunks(docs).where("chunk_type <> 'child'").groupBy("id").agg(F.collect_list("text").alias("texts"))
+    kept = F.exists("texts", lambda t: F.contains(t, F.regexp_replace("page", f"^{X.BLANKS}|{X.BLANKS}$", "")))
+    return pages.join(texts, "id", "left").groupBy("id").agg(F.count("*").alias("n_pages"), F.count(F.when(kept, 1)).alias("n_kept"))
+
+
 # ---- questions -------------------------------------------------------------------
 
 
@@ -763,7 +828,65 @@ def paired_ttest(s, d):
 )
 def wilcoxon_ranks(s, d):
     a, b = _runs(s, d)
-    return evaluation.signed_ranks(_scores(s, d), a, b).withColumn("n", F.col("n").cast("bigint"))
+    return evaluation.signed_ranks(_scores(s, d), a, b).withColumn("n", F.col("n").cast("bigint")).drop("ties")
+
+
+_STEPS = "range(0, 20001)"
+# p of t: the integral of cos(x) ** (df - 1) beyond atan(t / sqrt(df)); of Wilcoxon: ways to each rank sum, or the integral of the normal density
+_COMPARED = f"""t AS (SELECT metric, count(*) AS n, avg(x - y) AS m, CASE WHEN stddev_samp(x - y) > 1e-12 THEN avg(x - y) / (stddev_samp(x - y) / sqrt(count(*))) END AS t FROM pairs GROUP BY metric HAVING count(*) >= 2),
+    tp AS (SELECT *, CASE WHEN t IS NULL THEN 1.0 ELSE simpson(atan(abs(t) / sqrt(n - 1)), pi() / 2, n - 2) / simpson(0.0, pi() / 2, n - 2) END AS p FROM t),
+    df AS (SELECT metric, round(x - y, 9) AS d FROM pairs WHERE round(x - y, 9) <> 0),
+    rk AS (SELECT metric, d, avg(rn) OVER (PARTITION BY metric, abs(d)) AS rank, count(*) OVER (PARTITION BY metric, abs(d)) AS c FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY abs(d)) AS rn FROM df)),
+    w AS (SELECT metric, count(*) AS n, round(coalesce(sum(rank) FILTER (d > 0), 0), 6) AS w_plus, round(coalesce(sum(rank) FILTER (d < 0), 0), 6) AS w_minus, sum(c * c - 1) AS ties FROM rk GROUP BY metric),
+    ways(metric, n, r, counts) AS (SELECT metric, n, 0, list_transform(range(0, n * (n + 1) // 2 + 1), lambda s: CASE WHEN s = 0 THEN 1::BIGINT ELSE 0::BIGINT END) FROM w WHERE n <= {evaluation.EXACT} AND ties = 0
+      UNION ALL SELECT metric, n, r + 1, list_transform(counts, lambda x, s: x + CASE WHEN s > r + 1 THEN counts[s - r - 1] ELSE 0 END) FROM ways WHERE r < n),
+    wp AS (SELECT w.*, CASE WHEN counts IS NOT NULL THEN least(1.0, 2 * list_sum(counts[1 : CAST(floor(least(w_plus, w_minus)) AS BIGINT) + 1]) / pow(2, w.n))
+      ELSE 1 - 2 * normal(abs(least(w_plus, w_minus) - w.n * (w.n + 1) / 4) / sqrt((w.n * (w.n + 1) * (2 * w.n + 1) - ties / 2) / 24)) END AS p FROM w LEFT JOIN ways ON ways.metric = w.metric AND ways.r = ways.n)"""
+
+
+def _macros(sql: str) -> str:
+    """Simpson sums spelled out: the SQL is one statement."""
+    import re
+
+    weight = "CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    simpson = r"(list_sum(list_transform(range(0, 20001), lambda i: " + weight + r" * pow(cos(least(\1 + (\2 - (\1)) * i / 20000, pi() / 2)), \3))) * (\2 - (\1)) / 60000)"
+    sql = re.sub(r"simpson\(((?:[^(),]|\((?:[^()]|\([^()]*\))*\))*), ((?:[^(),]|\([^()]*\))*), ([^(),]*)\)", simpson, sql)
+    at = sql.index("normal(")
+    depth, end = 1, at + len("normal(")
+    while depth:
+        depth += {"(": 1, ")": -1}.get(sql[end], 0)
+        end += 1
+    z = sql[at + len("normal(") : end - 1]
+    return sql[:at] + f"(list_sum(list_transform(range(0, 20001), lambda i: {weight} * exp(-pow(({z}) * i / 20000, 2) / 2))) * ({z}) / 60000 / sqrt(2 * pi()))" + sql[end:]
+
+
+@query(_macros(f"WITH RECURSIVE {_PAIRS}, {_COMPARED} SELECT metric, tp.n, round(m, 6) AS mean_diff, round(t, 6) AS t_stat, round(tp.p, 6) AS t_p, coalesce(w_plus, 0.0) AS w_plus, coalesce(w_minus, 0.0) AS w_minus, round(coalesce(wp.p, 1.0), 6) AS wilcoxon_p FROM tp LEFT JOIN wp USING (metric)"))
+def compare_models(s, d):
+    """Both tests with their p-values; the SQL integrates the distributions."""
+    a, b = _runs(s, d)
+    return evaluation.compare_models(_scores(s, d), a, b)
+
+
+@query(f"WITH {_SCORES}, m AS (SELECT run, metric, round(coalesce(avg(score) FILTER (NOT failed), 0.0), 6) AS mean, count(score) FILTER (NOT failed) AS n FROM scores GROUP BY run, metric) SELECT metric, string_agg(run || '=' || printf('%.4f', mean), ' ' ORDER BY run) AS arms, arg_max(run, mean) AS winner FROM m GROUP BY metric")
+def ablation_table(s, d):
+    return evaluation.best_arm(evaluation.metric_averages(_scores(s, d)))
+
+
+@query(f"WITH {_SCORES} SELECT run, metric, round(round(coalesce(avg(score) FILTER (NOT failed), 0.0), 6), 4) AS mean, count(score) FILTER (NOT failed) AS n FROM scores GROUP BY run, metric")
+def experiment_report(s, d):
+    """Written as JSON and read again."""
+    at = os.path.join(shared_folder(s), "reports", uuid.uuid4().hex)
+    files.write_experiment(evaluation.metric_averages(_scores(s, d)), at)
+    return files.read_experiment(s, at)
+
+
+@query(f"WITH {_SCORES}, g AS (SELECT run, metric, avg(score) AS m, stddev_samp(score) AS sd, count(*) AS n FROM scores WHERE NOT failed AND score IS NOT NULL GROUP BY run, metric) SELECT run, metric, TRUE AS holds_mean, TRUE AS as_wide FROM g WHERE n >= 30 AND sd > 0")
+def bootstrap_bounds(s, d):
+    """Intervals hold the mean, and are as wide as the spread lets expect, give or take a quarter."""
+    scores = _scores(s, d).withColumn("sample_id", F.col("result_id"))
+    ok = scores.where(~F.col("failed") & F.col("score").isNotNull()).groupBy("run", "metric").agg(F.avg("score").alias("m"), F.stddev_samp("score").alias("sd"), F.count("*").alias("n")).where((F.col("n") >= 30) & (F.col("sd") > 0))
+    wide = (F.col("hi") - F.col("lo")) / (2 * 1.96 * F.col("sd") / F.sqrt("n"))
+    return evaluation.bootstrap(scores).join(ok, ["run", "metric"]).select("run", "metric", F.col("m").between(F.col("lo"), F.col("hi")).alias("holds_mean"), wide.between(0.75, 1.25).alias("as_wide"))
 
 
 @query(f"WITH {_SCORES}, ends AS (SELECT min(run) AS a, max(run) AS b FROM eval_results) SELECT metric, round(avg(score) FILTER (run = a), 6) AS first_arm, round(avg(score) FILTER (run = b), 6) AS last_arm FROM scores, ends WHERE NOT failed AND score IS NOT NULL GROUP BY metric")
@@ -813,9 +936,9 @@ def cost_breakdown(s, d):
     return _calls(s, d).groupBy(F.coalesce("layer", F.lit("unknown")).alias("layer")).agg(F.count("*").alias("n"), F.round(F.sum("value") / 100, 6).alias("cost"), F.countDistinct("session").alias("sessions"))
 
 
-@query("SELECT run, coalesce(lang_hint, 'unknown') AS source, count(*) AS n FROM eval_results GROUP BY ALL")
+@query("SELECT run, coalesce(lang_hint, 'unknown') AS source, count(*) AS n, greatest(coalesce(max(latency_seconds), 0.0), 0.0) AS most FROM eval_results GROUP BY ALL")
 def source_distribution(s, d):
-    return T(s, d, "eval_results").groupBy("run", F.coalesce("lang_hint", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"))
+    return T(s, d, "eval_results").groupBy("run", F.coalesce("lang_hint", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.max("latency_seconds"), F.lit(0.0)), F.lit(0.0)).alias("most"))
 
 
 _SESSION = "SELECT user_id AS session, event_id, value / 100 AS cost, sum(value / 100) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events"
@@ -836,6 +959,17 @@ def prom_counter(s, d):
     return T(s, d, "events").groupBy("event_type", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+@query("SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE '/other' END AS label, count(*) AS n FROM events GROUP BY ALL")
+def prom_labels(s, d):
+    """Event types stand in for paths."""
+    return T(s, d, "events").groupBy(observe.route_label(F.col("event_type"), ["click", "view"]).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS session, event_id FROM events WHERE value / 100 > 1.0")
+def call_alerts(s, d):
+    return observe.over_limit(_calls(s, d), 1.0).select("session", "event_id")
+
+
 _BOUNDS = (5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0)
 
 
@@ -919,15 +1053,13 @@ def window_session(s, d):
     return windows.sessions(_events(s, d), "2 hours")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@query("WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL) SELECT * FROM w WHERE epoch_ms(\"end\") <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)")
 def stream_available_now(s, d):
-    """The tumbling windows again, from a file stream that is run to its end."""
-    at = os.path.join(shared_folder(s), f"stream-{uuid.uuid4().hex}")
-    stream = windows.read_events(s, os.path.join(os.path.abspath(d), "events.parquet"))
-    name = f"w_{uuid.uuid4().hex}"
-    q = windows.windowed(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name)
+    """The tumbling windows from a file stream that is run to its end into files: those that the watermark has closed."""
+    at = os.path.join(shared_folder(s), "streams", uuid.uuid4().hex)
+    stream = windows.read_events(s, os.path.join(os.path.abspath(d), "events.parquet"), 1000)
+    windows.run_once(windows.windowed(stream, "1 hour"), os.path.join(at, "out"), os.path.join(at, "checkpoint"))
+    return s.read.parquet(os.path.join(at, "out"))
 
 
 # ---- providers' outputs and rendering ------------------------------------------------------------
@@ -985,13 +1117,19 @@ def dataset_slice(s, d):
     return T(s, d, "eval_samples").where(retrieval.metadata_filter(ticker="QVRN")).select("sample_id", "question").distinct()
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\\S+')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def hashed_embedding(s, d):
-    """Rows only: the engines hash differently."""
+    """The norms only: the engines hash differently."""
     v = retrieval.hashed_vectors(_docs(s, d).select("id", "text"))
     return v.select(F.col("id").alias("doc_id"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
+@query(f"WITH {_QUESTIONS} SELECT qid, len(regexp_extract_all(question, '\\S+')) = 0 AS retrieval_failed, len(regexp_extract_all(question, '\\S+')) > 0 AS has_chunks FROM questions")
+def ask_outcome(s, d):
+    """Of the whole chain: a question with a word has hits."""
+    return ask_batch(s, d).select("qid", "retrieval_failed", (F.size("chunks") > 0).alias("has_chunks"))
+
+
 @query()
 def ask_batch(s, d):
     """Rows only: the whole chain with the default providers."""
@@ -1000,8 +1138,6 @@ def ask_batch(s, d):
 
 @query(f"WITH {_SCORES} SELECT run, sample_id, metric, round(score, 4) AS score, failed FROM scores")
 def report_rows(s, d):
-    from quarrylight.sources import files
-
     return files.report(_scores(s, d).withColumn("question", F.lit(None).cast("string"))).drop("question")
 
 

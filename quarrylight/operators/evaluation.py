@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import lgamma, log, exp, sqrt
+from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -117,7 +117,7 @@ def paired_t(scores: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def signed_ranks(scores: DataFrame, a: str, b: str) -> DataFrame:
-    """(metric, n, w_plus, w_minus) of the Wilcoxon test, tied differences sharing their mean rank.
+    """(metric, n, w_plus, w_minus, ties) of the Wilcoxon test, tied differences sharing their mean rank.
 
     Ranks come from counts of distinct differences, so a metric with many pairs is not
     sorted in one task unless its differences are all distinct.
@@ -127,7 +127,7 @@ def signed_ranks(scores: DataFrame, a: str, b: str) -> DataFrame:
     sizes = diff.groupBy("metric", F.abs("d").alias("a")).agg(F.count("*").alias("c"), F.count(F.when(F.col("d") > 0, 1)).alias("plus"))
     upto = F.sum("c").over(Window.partitionBy("metric").orderBy("a"))
     ranked = sizes.withColumn("rank", upto - (F.col("c") - 1) / 2)
-    return ranked.groupBy("metric").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("rank") * F.col("plus")), 6).alias("w_plus"), F.round(F.sum(F.col("rank") * (F.col("c") - F.col("plus"))), 6).alias("w_minus"))
+    return ranked.groupBy("metric").agg(F.sum("c").alias("n"), F.round(F.sum(F.col("rank") * F.col("plus")), 6).alias("w_plus"), F.round(F.sum(F.col("rank") * (F.col("c") - F.col("plus"))), 6).alias("w_minus"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
 
 
 def wilcoxon_exact(n: int, w: float) -> float:
@@ -139,13 +139,41 @@ def wilcoxon_exact(n: int, w: float) -> float:
     return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
 
 
-def wilcoxon_normal(n: int, w: float) -> float:
-    mean, sd = n * (n + 1) / 4, sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    from math import erfc
-
+def wilcoxon_normal(n: int, w: float, ties: float = 0.0) -> float:
+    """Two-sided p by the normal approximation; ``ties``: the sum of c ** 3 - c over groups of equal differences."""
+    mean, sd = n * (n + 1) / 4, sqrt(max(0.0, (n * (n + 1) * (2 * n + 1) - ties / 2) / 24))
     return erfc(abs(w - mean) / sd / sqrt(2)) if sd else 1.0
 
 
+#: Up to so many pairs without ties the exact distribution is used.
+EXACT = 50
+
+
+def wilcoxon_pvalue(n: int, w_plus: float, w_minus: float, ties: float) -> float:
+    """Exact for few pairs without ties, else the normal approximation; no difference at all counts as none."""
+    if not n:
+        return 1.0
+    w = min(w_plus, w_minus)
+    return wilcoxon_exact(n, w) if n <= EXACT and not ties else wilcoxon_normal(n, w, ties)
+
+
+def compare_models(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """(metric, n, mean_diff, t_stat, t_p, w_plus, w_minus, wilcoxon_p) of two runs, for metrics with two pairs or more."""
+    p = F.pandas_udf(lambda n, x, y, t: pd.Series([wilcoxon_pvalue(*r) for r in zip(n, x, y, t, strict=True)], dtype=float), T.DoubleType(), 200)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    t = paired_t(scores, a, b).withColumnRenamed("p_value", "t_p")
+    ranks = signed_ranks(scores, a, b).withColumnRenamed("n", "n_signed")
+    both = t.join(ranks, "metric", "left").select("metric", "n", "mean_diff", "t_stat", "t_p", zero("n_signed"), zero("w_plus"), zero("w_minus"), zero("ties"))
+    return both.select("metric", "n", "mean_diff", "t_stat", "t_p", "w_plus", "w_minus", F.round(p("n_signed", "w_plus", "w_minus", "ties"), 6).alias("wilcoxon_p"))
+
+
+def best_arm(averages: DataFrame) -> DataFrame:
+    """(metric, arms, winner) over every run: ``arms`` is its table in order of the runs, the winner has the best mean."""
+    shown = F.concat(F.col("run"), F.lit("="), F.format_string("%.4f", "mean"))
+    rows = averages.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("run", shown.alias("s")))).alias("r"), F.max_by("run", F.struct("mean", F.col("n"))).alias("winner"))
+    return rows.select("metric", F.array_join(F.transform("r", lambda x: x["s"]), " ").alias("arms"), "winner")
+
+
 def by_arm(scores: DataFrame, arms: list[str]) -> DataFrame:
     return scores.where(F.col("score").isNotNull() & ~F.coalesce(F.col("failed"), F.lit(False))).groupBy("metric").pivot("run", arms).agg(F.round(F.avg("score"), 6))
 

@@ -48,7 +48,7 @@ def sse(line: Column) -> Column:
 
 
 def latency_label(seconds: Column) -> Column:
-    return F.when(seconds < 1, F.concat(F.round(seconds * 1000, 0).cast("int").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.2f", F.round(seconds, 2)), F.lit("s")))
+    return F.when(seconds.isNull(), F.lit(None)).when(seconds < 1, F.concat(F.round(seconds * 1000, 0).cast("int").cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.2f", F.round(seconds, 2)), F.lit("s")))
 
 
 def count_label(n: Column) -> Column:

@@ -55,3 +55,13 @@ def quantile(values: DataFrame, by: list[str], q: float, bounds: tuple[float, ..
         at = low + (F.lit(float(bounds[i])) - low) * (goal - below) / F.nullif(width, F.lit(0))
         out = F.when(F.col(f"b{i}") >= goal, F.coalesce(at, low)).otherwise(out)
     return per.where(F.col("n") > 0).select(*by, F.round(out, 6).alias("quantile"))
+
+
+def route_label(path: Column, known: list[str]) -> Column:
+    """A path as the label of a counter: itself if it is a known one, else '/other', so that labels stay few."""
+    return F.when(path.isin(*known), path).otherwise("/other")
+
+
+def over_limit(calls: DataFrame, limit: float) -> DataFrame:
+    """The calls that cost more than ``limit`` by themselves."""
+    return calls.where(F.col("cost") > limit)

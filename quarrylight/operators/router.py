@@ -90,3 +90,8 @@ def transformed(questions: DataFrame, outputs: DataFrame, kinds: tuple[str, ...]
     wanted = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").select("qid", "question", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
     out = wanted.join(outputs.select("qid", "kind", "output"), ["qid", "kind"], "left")
     return out.select("qid", "kind", F.coalesce("output", "question").alias("variant"), F.col("output").isNull().alias("failed"))
+
+
+def stepback(question: Column) -> Column:
+    """Default stepped-back variant: the period is left open."""
+    return F.regexp_replace(question, r"Q[1-4] \d{4}", "recent quarters")

@@ -42,6 +42,11 @@ def retrieve(questions: DataFrame, variants: list[DataFrame], corpus: DataFrame,
     return ranked.select("qid", F.col("rank").alias("pos"), F.col("id").alias("chunk_id"), "parent_id", "ticker", "fiscal_period", "section_title", "text", "source", "score")
 
 
+def hypothetical(questions: DataFrame, corpus: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(qid, id, question): for each question the text of its best lexical hit, a variant to search vectors with."""
+    return index.search(questions, 1).join(corpus.select("id", "text"), "id").select("qid", "id", F.col("text").alias("question"))
+
+
 def with_graph(hits: DataFrame, questions: DataFrame, entities: DataFrame, relationships: DataFrame, corpus: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Chunks of the graph appended after the ranked ones, without a rerank score."""
     merged = graph.merge_entities(entities)

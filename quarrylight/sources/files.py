@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quarrylight.functions.text import word_count
 from quarrylight.operators.chunking import html_text
+from quarrylight.session import exists
 
 SUBMISSIONS = "cik STRING, filings STRUCT<recent: STRUCT<form: ARRAY<STRING>, filingDate: ARRAY<STRING>, accessionNumber: ARRAY<STRING>>>"
 GRAPH = "entities ARRAY<STRUCT<name: STRING, entity_type: STRING, ticker: STRING, fiscal_period: STRING, chunk_ids: ARRAY<STRING>, aliases: ARRAY<STRING>>>, relationships ARRAY<STRUCT<source: STRING, target: STRING, relation: STRING, ticker: STRING, chunk_id: STRING>>"
@@ -78,3 +79,37 @@ def write_graph(entities: DataFrame, relationships: DataFrame, path: str) -> Non
     e = entities.select(F.array(F.struct("name", "entity_type", "ticker", "fiscal_period", "chunk_ids", "aliases")).alias("entities"), F.array().cast("array<struct<source:string,target:string,relation:string,ticker:string,chunk_id:string>>").alias("relationships"))
     r = relationships.select(F.array().cast("array<struct<name:string,entity_type:string,ticker:string,fiscal_period:string,chunk_ids:array<string>,aliases:array<string>>>").alias("entities"), F.array(F.struct("source", "target", "relation", "ticker", "chunk_id")).alias("relationships"))
     e.unionByName(r).write.mode("overwrite").json(path)
+
+
+def write_experiment(averages: DataFrame, path: str) -> None:
+    """One JSON object a run: {run, metrics: [{metric, mean, n}]}, means to four places."""
+    each = averages.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("metric", F.round("mean", 4).alias("mean"), "n"))).alias("metrics"))
+    each.write.mode("overwrite").json(path)
+
+
+def read_experiment(spark: SparkSession, path: str) -> DataFrame:
+    """(run, metric, mean, n) of such reports."""
+    return spark.read.schema("run STRING, metrics ARRAY<STRUCT<metric: STRING, mean: DOUBLE, n: BIGINT>>").json(path).select("run", F.inline("metrics"))
+
+
+RESULT = "id STRING, answer STRING, chunks ARRAY<STRING>, latency_seconds DOUBLE, failed BOOLEAN, error STRING"
+
+
+def result_json(**fields: Column) -> Column:
+    """A result as JSON: its latency to three places, nulls left out."""
+    return F.to_json(F.struct(*[(F.round(c, 3) if k == "latency_seconds" else c).alias(k) for k, c in fields.items()]))
+
+
+def result_from_json(text: Column) -> Column:
+    """The result again; what is missing is null, a text that does not parse gives none."""
+    return F.from_json(text, RESULT)
+
+
+def mark_done(spark: SparkSession, names: DataFrame, path: str) -> None:
+    """Append the names (name) that are done; written after all else, so a crash repeats work and loses none."""
+    names.select("name").write.mode("append").parquet(path)
+
+
+def read_done(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of what is done; nothing is, where nothing was marked."""
+    return spark.read.schema("name STRING").parquet(path) if exists(spark, path) else spark.createDataFrame([], "name STRING")
