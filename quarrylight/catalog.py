@@ -348,7 +348,7 @@ def filing_names(s, d):
     return docs.select("doc_id", files.filing_name(F.col("ticker"), F.col("filed_on"), F.md5("source")).alias("name"))
 
 
-@query("SELECT result_id, CASE WHEN latency_seconds < 1 THEN CAST(CAST(round(latency_seconds * 1000) AS INTEGER) AS VARCHAR) || 'ms' ELSE printf('%.2f', round(latency_seconds, 2)) || 's' END AS shown FROM (SELECT DISTINCT result_id, latency_seconds FROM eval_results)")
+@query("SELECT result_id, CASE WHEN latency_seconds < 1 THEN CAST(CAST(round(latency_seconds * 1000) AS INTEGER) AS VARCHAR) || 'ms' ELSE CAST(CAST(round(CAST(latency_seconds AS DECIMAL(18, 9)), 2) AS DECIMAL(18, 2)) AS VARCHAR) || 's' END AS shown FROM (SELECT DISTINCT result_id, latency_seconds FROM eval_results)")
 def latency_format(s, d):
     return T(s, d, "eval_results").select("result_id", "latency_seconds").distinct().select("result_id", ingest.latency_label(F.col("latency_seconds")).alias("shown"))
 
