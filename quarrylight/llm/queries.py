@@ -26,6 +26,7 @@ QUERIES = {
     "p6_boilerplate": lambda s, d: lines.boilerplate(T(s, d, "chunks")),
     "p6_cleaned": lambda s, d: lines.without_repeated_lines(T(s, d, "chunks")),
     "p7_ids": lambda s, d: tokens.encode_documents(T(s, d, "documents")),
+    "p7_decoded": lambda s, d: tokens.decode_documents(tokens.encode_documents(T(s, d, "documents"))).select("doc_id", F.md5("text").alias("text_md5")),
     "p8_mix": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets"))[0],
     "p8_shares": lambda s, d: mixing.mix(T(s, d, "documents"), T(s, d, "mix_targets"))[1],
     "p8_balance": lambda s, d: mixing.balance(T(s, d, "documents"), T(s, d, "mix_targets")),
@@ -46,6 +47,7 @@ _LINES = f"""lines AS (
 ORACLES = {
     "p1_found": "SELECT DISTINCT chunk_id FROM chunks JOIN chunk_limits USING (chunk_type) WHERE length(text) > max_chars",
     "p1_reassembled": "SELECT DISTINCT chunk_id, md5(text) AS text_md5, length(text) AS n_chars, TRUE AS within_limit, TRUE AS overlap_kept FROM chunks JOIN chunk_limits USING (chunk_type) WHERE length(text) > max_chars",
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p8_balance": "SELECT source, TRUE AS within_repeats, TRUE AS near_target FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
     "p9_figures": f"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^{_WHITE[1:-2]}]+')), 0) AS n_words, round(list_avg(list_transform(regexp_extract_all(text, '[^{_WHITE[1:-2]}]+'), lambda x: length(x))), 6) AS mean_word_length FROM documents",
     "p6_found": f"""WITH {_LINES}, hit AS (SELECT ticker, line FROM folded GROUP BY ALL HAVING count(DISTINCT chunk_id) >= 5)

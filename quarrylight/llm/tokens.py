@@ -209,3 +209,17 @@ def count_tokens(documents: DataFrame, *keep: str, path: str | None = None) -> D
 
     n_tokens = F.pandas_udf(_counts(_shipped(documents.sparkSession, path), path), T.LongType())
     return documents.select(*keep, F.coalesce(n_tokens("text"), F.lit(0)).alias("n_tokens"))
+
+
+def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and text of rows of (doc_id, ids); null ids give a null text, bytes that are no UTF-8 the replacement mark."""
+    path = path or os.path.join(TOKENIZERS, VOCABULARY)
+    name = _shipped(encoded.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = {i: b for b, i in encoder(_there(name, path)).ranks.items()}
+        for batch in batches:
+            texts = [None if ids is None else b"".join(map(bytes_of.__getitem__, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

@@ -90,3 +90,11 @@ def test_limits_bend_the_exponent(spark):
     have = sum(r.tokens_available for r in shares.values())
     assert abs(shares["b"].tokens_used - 2 * shares["b"].tokens_available) <= 11 and abs(sum(r.tokens_used for r in shares.values()) - have) <= 22
     assert all(r.within_repeats and r.near_target for r in mixing.balance(docs_of(spark, rows), targets).collect())
+
+
+def test_decoding(spark):
+    df = spark.createDataFrame([(1, [], "x"), (2, None, "x")], "doc_id bigint, ids array<int>, text string")
+    assert {r.doc_id: r.text for r in tokens.decode_documents(df).collect()} == {1: "", 2: None}
+    texts = ["", "a b  c\n", "é 𝟙 王小明 \x00 x", None]
+    back = tokens.decode_documents(tokens.encode_documents(docs_of(spark, [("s", t) for t in texts])))
+    assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
