@@ -69,17 +69,21 @@ def _each(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*cols, F.inline(pairs))
 
 
+def _of_chunk(rows: DataFrame) -> DataFrame:
+    """One row a chunk_id of a ticker: its document, and whether it has one only."""
+    one = (F.min("t1") == F.max("t1")) & (F.min("t2") == F.max("t2"))
+    return rows.groupBy("ticker", "chunk_id").agg(F.min("t1").alias("t1"), F.min("t2").alias("t2"), one.alias("one"))
+
+
 def _collapsed(rows: DataFrame) -> DataFrame:
     """One row a document: its lines, its cluster and the number of chunk_ids that have this text and no other."""
-    only = F.min("t1") == F.max("t1")
-    of_chunk = rows.groupBy("ticker", "chunk_id").agg(F.min("t1").alias("t1"), F.min("t2").alias("t2"), (only & (F.min("t2") == F.max("t2"))).alias("one"))
-    weight = of_chunk.where("one").groupBy(*DOCUMENT).agg(F.count("*").alias("weight"))
+    weight = _of_chunk(rows).where("one").groupBy(*DOCUMENT).agg(F.count("*").alias("weight"))
     return rows.groupBy(*DOCUMENT).agg(F.first("h1s").alias("h1s"), F.first("h2s").alias("h2s"), F.first("cluster").alias("cluster")).join(weight, [*DOCUMENT], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
 
 
 def _repeated(rows: DataFrame, docs: DataFrame, least: int) -> tuple[DataFrame, bool]:
     """(h1, h2, n_chunks) of the lines in ``least`` chunk_ids or more, and whether they are few enough to broadcast."""
-    several = rows.groupBy("ticker", "chunk_id").agg((F.min("t1") != F.max("t1")).alias("a"), (F.min("t2") != F.max("t2")).alias("b")).where(F.col("a") | F.col("b")).select("ticker", "chunk_id")
+    several = _of_chunk(rows).where("not one").select("ticker", "chunk_id")
     apart = _each(rows.join(several, ["ticker", "chunk_id"], "left_semi"), "chunk_id").distinct().select("h1", "h2", F.lit(1).cast("bigint").alias("weight"))
     counted = _each(docs.where("weight > 0"), "weight").select("h1", "h2", "weight").unionByName(apart)
     hit = cut(counted.groupBy("h1", "h2").agg(F.sum("weight").alias("n_chunks")).where(F.col("n_chunks") >= least))

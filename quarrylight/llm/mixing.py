@@ -134,7 +134,8 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
 def balance(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, within_repeats, near_target) of the sources that have tokens, counted again from the used documents.
 
-    A share is near its target if it misses it by the longest document of the sources at most.
+    A source stays below what it is to give by less than its longest document; a share is
+    near its target if that explains the miss, its own or that of all sources together.
     """
     used, _ = mix(documents, targets)
     n = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"), F.max("n_tokens").alias("longest"))
@@ -142,5 +143,5 @@ def balance(documents: DataFrame, targets: DataFrame) -> DataFrame:
     met = n.join(goals, "source")
     every = Window.partitionBy(F.lit(1))  # one row a target source
     share, goal = F.col("tokens") / F.sum("tokens").over(every), F.col("target_share") / F.sum("target_share").over(every)
-    slack = F.max("longest").over(every) / F.sum("tokens").over(every)
+    slack = F.max("longest").over(every) * F.greatest(F.lit(1), goal * F.count("*").over(every)) / F.sum("tokens").over(every)
     return met.select("source", (F.col("repeats") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(share - goal) <= slack).alias("near_target"))
