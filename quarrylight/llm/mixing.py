@@ -6,7 +6,8 @@ lets every source reach its target within its repetition limit, and is bisected
 down otherwise.  ``temperature`` and ``exponent_for_entropy`` give the plain
 form, in which p itself is exponentiated.  With ``of_all`` the budget is that share
 of all tokens that the sources have, and then limits bind and the exponent is bisected.  A weight is realised in blocks: whole
-passes over the source, then the head of a pass in hashed order up to the budget.
+passes over the source, then the head of a pass in hashed order that ends next to the
+budget, so that a source misses its weight by half a document at most.
 
 Defined results: a target of a source without tokens is reported with a reached
 share of zero, and the other shares keep their proportions; documents without
@@ -101,7 +102,7 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
         .withColumn("bucket", F.shiftrightunsigned("ord", 64 - BUCKETS.bit_length() + 1).cast("int"))
     )
     # at most sources x BUCKETS rows, whatever the corpus
-    buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
+    buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")))
     have = {r["source"]: r["tokens"] for r in buckets.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     if of_all is not None:
         budget = floor(of_all * sum(have.values()))
@@ -116,7 +117,7 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     ends = (F.col("start") < F.col("rest")) & (F.col("rest") < F.col("upto"))
     whole = placed.where(~ends).withColumn("extra", (F.col("upto") <= F.col("rest")).cast("bigint"))
     run = F.col("start") + F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    last = placed.where(ends).withColumn("extra", (run <= F.col("rest")).cast("bigint"))
+    last = placed.where(ends).withColumn("extra", (run - F.col("n_tokens") / 2 <= F.col("rest")).cast("bigint"))
     used = (
         whole.unionByName(last)
         .select("doc_id", "source", "n_tokens", (F.col("full") + F.col("extra")).alias("repeats"))
@@ -124,8 +125,8 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
     )
     drawn = used.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens_used"), F.max("repeats").alias("most_repeats"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    found = buckets.groupBy("source").agg(F.sum("tokens").alias("tokens_available"))
-    shares = goals.join(drawn, "source", "left").join(found, "source", "left").select("source", "target_share", "max_repeats", zero("n_documents"), zero("tokens_available"), zero("tokens_used"), zero("most_repeats"))
+    found = buckets.groupBy("source").agg(F.sum("tokens").alias("tokens_available"), F.max("longest").alias("longest_document"))
+    shares = goals.join(drawn, "source", "left").join(found, "source", "left").select("source", "target_share", "max_repeats", zero("n_documents"), zero("tokens_available"), zero("longest_document"), zero("tokens_used"), zero("most_repeats"))
     all_used = F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))  # one row a target source
     shares = shares.withColumn("reached_share", F.when(all_used > 0, F.col("tokens_used") / all_used).otherwise(F.lit(0.0))).withColumn("exponent", F.lit(exponent))
     return used, shares
@@ -134,14 +135,15 @@ def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, see
 def balance(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, within_repeats, near_target) of the sources that have tokens, counted again from the used documents.
 
-    A source stays below what it is to give by less than its longest document; a share is
-    near its target if that explains the miss, its own or that of all sources together.
+    A source misses what it is to give by half its longest document at most; a share is
+    near its target if that explains the miss, its own and that of all sources together.
     """
-    used, _ = mix(documents, targets)
-    n = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"), F.max("n_tokens").alias("longest"))
-    goals = _targets(targets).where((F.col("target_share") > 0) & (F.col("max_repeats") > 0))
-    met = n.join(goals, "source")
+    used, shares = mix(documents, targets)
+    n = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats"))
+    there = shares.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0) & (F.col("tokens_available") > 0))
+    met = there.select("source", "target_share", "max_repeats", "longest_document").join(n, "source", "left").fillna(0, ["tokens", "repeats"])
     every = Window.partitionBy(F.lit(1))  # one row a target source
-    share, goal = F.col("tokens") / F.sum("tokens").over(every), F.col("target_share") / F.sum("target_share").over(every)
-    slack = F.max("longest").over(every) * F.greatest(F.lit(1), goal * F.count("*").over(every)) / F.sum("tokens").over(every)
-    return met.select("source", (F.col("repeats") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(share - goal) <= slack).alias("near_target"))
+    total = F.greatest(F.sum("tokens").over(every), F.lit(1))
+    share, goal = F.col("tokens") / total, F.col("target_share") / F.sum("target_share").over(every)
+    slack = (F.col("longest_document") + goal * F.sum("longest_document").over(every)) / 2 / total
+    return met.select("source", (F.col("repeats") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(share - goal) <= slack + 1 / total).alias("near_target"))
