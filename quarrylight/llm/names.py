@@ -327,9 +327,10 @@ def _gram_pairs(anchors: DataFrame) -> DataFrame:
         & (F.col("a.gram") == F.col("b.gram"))
         & (F.col("a.anchor") < F.col("b.anchor"))
         & (F.abs(F.col("a.len") - F.col("b.len")) <= slips_most)
+        # a swap counts twice; beyond the bound it is not counted on
+        & (F.call_function("levenshtein", F.col("a.anchor"), F.col("b.anchor"), (2 * slips_most).cast("int")) >= 0)
         # a pair comes out of its first common q-gram only
         & (F.element_at(F.array_intersect("a.prefix", "b.prefix"), 1) == F.col("a.gram"))
-        & (F.levenshtein("a.anchor", "b.anchor") <= 2 * slips_most)  # which counts a swap twice
     )
     return a.join(b, on).select(F.col("a.ticker").alias("ticker"), F.col("a.kind").alias("kind"), F.col("a.anchor").alias("anchor"), F.col("b.anchor").alias("other"))
 
