@@ -224,10 +224,15 @@ def replay(relationships: DataFrame, entities: DataFrame, chunks: DataFrame, sto
     lo, hi = min((e[0] for e in ends if e[0] is not None), default=0), max((e[1] for e in ends if e[1] is not None), default=0)
     span = max(1, hi - lo)
     step = lambda c: F.coalesce(F.greatest(F.lit(1), F.floor(((us(c) - lo) * steps + (span - 1)) / span).cast("int")), F.lit(1))
-    refs, parents = refs.withColumn("step", step("ref_at")), parents.withColumn("step", step("changed_at"))
+    # what comes in a step is laid out once, so that a delta reads its own rows only
+    at = os.path.join(store.path, "arrivals")
+    for name, rows, time in (("refs", refs, "ref_at"), ("parents", parents, "changed_at")):
+        rows.withColumn("step", step(time)).hint("rebalance", "step").write.partitionBy("step").parquet(os.path.join(at, name))
     out = None
     for i in range(1, steps + 1):
-        store.apply(refs.where(F.col("step") == i), parents.where(F.col("step") == i))
+        came = [os.path.join(at, name, f"step={i}") for name in ("refs", "parents")]
+        store.apply(*(refs.sparkSession.read.parquet(p) if exists(refs.sparkSession, p) else None for p in came))
         seen = cut(store.snapshot().select(F.lit(i).alias("step"), "ref_table", "fiscal_period", "state", "n_orphans"))
         out = seen if out is None else out.unionByName(seen)
+    delete(refs.sparkSession, at)
     return out
