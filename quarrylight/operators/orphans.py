@@ -186,8 +186,9 @@ class OrphanStore:
         rows = self._read(m, "refs", REFERENCE, touched).drop("state").withColumn("bucket", place)
         if new is not None:
             rows = rows.unionByName(new)
-        once = rows.dropDuplicates(["bucket", "rel_id", "ref_field", *KEYS])
-        known = _probe(once, self._read(m, "parents", PARENT, touched))
+        known = _probe(rows, self._read(m, "parents", PARENT, touched))
+        # after the join rows of a key are in one place, so that what came again goes without a shuffle
+        known = known.dropDuplicates(["rel_id", "ref_field", *KEYS])
         known.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(os.path.join(at, "refs"))
         if exists(self.spark, os.path.join(at, "refs"), "bucket="):
             each = self.spark.read.schema(f"{REFERENCE}, bucket int").parquet(os.path.join(at, "refs"))
