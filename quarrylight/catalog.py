@@ -22,7 +22,7 @@ from quarrylight.plans import pipeline
 from quarrylight.session import shared_folder, stamp
 from quarrylight.session import table as T
 from quarrylight.sources import files
-from quarrylight.sources.index import LexicalIndex
+from quarrylight.sources.index import FORMAT, LexicalIndex
 from quarrylight.streaming import windows
 
 QUESTION = "net revenue of the payments segment and the outlook for inventory"
@@ -80,7 +80,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 def _index(s: SparkSession, d: str, name: str) -> LexicalIndex:
     """The stored index of the children or of the documents: made when it is first asked for, and anew when the table changes."""
     source = os.path.abspath(os.path.join(d, "chunks.parquet" if name == "children" else "documents.parquet"))
-    key = hashlib.md5(f"{source} {stamp(s, source)}".encode()).hexdigest()
+    key = hashlib.md5(f"{FORMAT} {source} {stamp(s, source)}".encode()).hexdigest()
     index = LexicalIndex(s, os.path.join(shared_folder(s), "lexical", f"{name}-{key}"))
     if not index.exists():
         corpus, payload = (_children(s, d), ("ticker",)) if name == "children" else (_docs(s, d), ())

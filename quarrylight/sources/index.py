@@ -41,6 +41,8 @@ from quarrylight.functions.text import words
 from quarrylight.operators.retrieval import B, EPSILON, K1, TERM_BLOCK, top_k
 from quarrylight.session import cut, delete, exists, read_small, write_small
 
+#: Changes when the tables do, so that an index of another make is not read.
+FORMAT = 1
 #: Folders of postings and of terms; what a search lists and prunes by.
 BUCKETS = 32
 #: Up to so many pairs of posting and question term are scored at once, without pruning.
