@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from quarrylight.functions import text as X
 from quarrylight.operators import chunking, context, corrective, evaluation, graph, ingest, observe, orphans, render, retrieval, router, units
 from quarrylight.plans import pipeline
-from quarrylight.session import shared_folder, stamp
+from quarrylight.session import rename, shared_folder, stamp
 from quarrylight.session import table as T
 from quarrylight.sources import files
 from quarrylight.sources.index import FORMAT, LexicalIndex
@@ -84,7 +84,9 @@ def _index(s: SparkSession, d: str, name: str) -> LexicalIndex:
     index = LexicalIndex(s, os.path.join(shared_folder(s), "lexical", f"{name}-{key}"))
     if not index.exists():
         corpus, payload = (_children(s, d), ("ticker",)) if name == "children" else (_docs(s, d), ())
-        LexicalIndex.create(corpus.select("id", "text", *payload), index.path, payload)
+        # made beside its place, so that two sessions do not write over each other
+        made = LexicalIndex.create(corpus.select("id", "text", *payload), f"{index.path}.{uuid.uuid4().hex}", payload)
+        rename(s, made.path, index.path)
     return index
 
 

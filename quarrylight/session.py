@@ -89,6 +89,14 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a finished folder its name; one that got it first stays."""
+    fs, p = _hadoop(spark, path)
+    _, q = _hadoop(spark, to)
+    if fs.exists(q) or not fs.rename(p, q):
+        fs.delete(p, True)
+
+
 def stamp(spark: SparkSession, path: str) -> str:
     """What changes when a file or the files of a folder do: their number, sizes and times."""
     fs, p = _hadoop(spark, path)
