@@ -12,6 +12,11 @@ from pyspark.sql.window import Window
 from quarrylight.functions.text import fold
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """A side that grows with the data: its join sorts and spills, and never sends it through the driver as a broadcast."""
+    return df.hint("merge")
+
+
 def canonical_key(kind: Column, ticker: Column, name: Column) -> Column:
     return F.concat_ws("::", kind, F.coalesce(ticker, F.lit("")), fold(name))
 
@@ -26,7 +31,7 @@ def merge_entities(entities: DataFrame) -> DataFrame:
     # sets are distinct (key, item) pairs first, so that a hot key is combined map-side
     union = lambda c: named.select("entity_key", F.explode(c).alias("x")).where(F.col("x").isNotNull()).select("entity_key", (fold(F.col("x")) if c == "aliases" else F.col("x")).alias("x")).distinct().groupBy("entity_key").agg(F.sort_array(F.collect_list("x")).alias(c))
     empty = F.array().cast("array<string>")
-    return heads.join(union("chunk_ids"), "entity_key", "left").join(union("aliases"), "entity_key", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", empty)).withColumn("aliases", F.coalesce("aliases", empty))
+    return heads.join(by_merge(union("chunk_ids")), "entity_key", "left").join(by_merge(union("aliases")), "entity_key", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", empty)).withColumn("aliases", F.coalesce("aliases", empty))
 
 
 def edges(relationships: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def match_questions(questions: DataFrame, merged: DataFrame) -> DataFrame:
     heads = called.select("name", words.alias("w")).where(F.size("w") > 0).select("name", F.array_join(F.slice("w", 1, NAME_WORDS), " ").alias("gram"), F.when(F.size("w") > NAME_WORDS, F.array_join("w", " ")).alias("long")).distinct()
     text = questions.select("qid", F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" ")).alias("asked"))
     whole = F.col("long").isNull() | F.col("asked").contains(F.concat(F.lit(" "), F.col("long"), F.lit(" ")))
-    return grams.join(heads, "gram").join(text, "qid", "left").where(whole).select("qid", "name").distinct()
+    return grams.join(by_merge(heads), "gram").join(by_merge(text), "qid", "left").where(whole).select("qid", "name").distinct()
 
 
 def expand(matches: DataFrame, merged: DataFrame, relationships: DataFrame, existing: DataFrame, most: int | None = None, skip: DataFrame | None = None) -> DataFrame:

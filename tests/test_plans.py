@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import catalog
@@ -22,6 +23,21 @@ def test_pushdown_and_codegen(spark, data):
         assert "Python" not in plan(catalog.QUERIES[name](spark, data)) and "CartesianProduct" not in plan(catalog.QUERIES[name](spark, data))
 
 
+# what grows is not broadcast through the driver, however small its size is taken to be
+@pytest.mark.parametrize("name", ["kg_match_question"])
+def test_growing_sides_are_not_broadcast(spark, data, name):
+    flag = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(flag)
+    spark.conf.set(flag, "1g")
+    try:
+        df = catalog.QUERIES[name](spark, data)
+        df.collect()
+        text = plan(df)
+    finally:
+        spark.conf.set(flag, before)
+    assert "SortMergeJoin" in text and "BroadcastExchange" not in text and "BroadcastNestedLoop" not in text
+
+
 def test_topk_limits_groups_early(spark, data):
     assert "WindowGroupLimit" in plan(catalog.QUERIES["bm25_batch_topk"](spark, data))
 
