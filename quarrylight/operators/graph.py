@@ -54,8 +54,8 @@ def cross_company(merged: DataFrame) -> DataFrame:
 def related(names: DataFrame, relationships: DataFrame) -> DataFrame:
     """(name, edge_key, other, direction) one hop out or in; a loop counts as outgoing only."""
     e = dedup_edges(relationships)
-    out = e.join(names, e["source"] == names["name"]).select("name", "edge_key", F.col("target").alias("other"), F.lit("out").alias("direction"))
-    back = e.where(F.col("source") != F.col("target")).join(names, F.col("target") == names["name"]).select("name", "edge_key", F.col("source").alias("other"), F.lit("in").alias("direction"))
+    out = e.join(by_merge(names), e["source"] == names["name"]).select("name", "edge_key", F.col("target").alias("other"), F.lit("out").alias("direction"))
+    back = e.where(F.col("source") != F.col("target")).join(by_merge(names), F.col("target") == names["name"]).select("name", "edge_key", F.col("source").alias("other"), F.lit("in").alias("direction"))
     return out.unionByName(back)
 
 
@@ -91,7 +91,7 @@ def expand(matches: DataFrame, merged: DataFrame, relationships: DataFrame, exis
     """
     owned = merged.select("name", F.explode("chunk_ids").alias("chunk_id")).distinct()
     if skip is not None:
-        owned = owned.join(skip.select("chunk_id").distinct(), "chunk_id", "left_anti")
+        owned = owned.join(by_merge(skip.select("chunk_id").distinct()), "chunk_id", "left_anti")
     known = existing.select("qid", "chunk_id").distinct()
     need = None
     if most is not None:
@@ -100,11 +100,11 @@ def expand(matches: DataFrame, merged: DataFrame, relationships: DataFrame, exis
         need = most + (taken or 0)
     first = lambda df, key: df if need is None else df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("chunk_id"))).where(F.col("_n") <= need).drop("_n")
     owned = first(owned, "name")
-    direct = matches.join(owned, "name").select("qid", "chunk_id", F.lit(0).alias("hop"))
+    direct = matches.join(by_merge(owned), "name").select("qid", "chunk_id", F.lit(0).alias("hop"))
     near = related(matches.select("name").distinct(), relationships).select("name", "other").distinct()
-    around = first(near.join(owned.withColumnRenamed("name", "other"), "other").select("name", "chunk_id").distinct(), "name")
-    hop = matches.join(around, "name").select("qid", "chunk_id", F.lit(1).alias("hop"))
-    found = direct.unionByName(hop).groupBy("qid", "chunk_id").agg(F.min("hop").alias("hop")).join(known, ["qid", "chunk_id"], "left_anti")
+    around = first(near.join(by_merge(owned.withColumnRenamed("name", "other")), "other").select("name", "chunk_id").distinct(), "name")
+    hop = matches.join(by_merge(around), "name").select("qid", "chunk_id", F.lit(1).alias("hop"))
+    found = direct.unionByName(hop).groupBy("qid", "chunk_id").agg(F.min("hop").alias("hop")).join(by_merge(known), ["qid", "chunk_id"], "left_anti")
     out = found.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("hop", "chunk_id")))
     return out if most is None else out.where(F.col("pos") <= most)
 
