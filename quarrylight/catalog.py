@@ -661,7 +661,7 @@ def kg_graph_expand(s, d):
 @query(f"WITH {_EXPAND} SELECT qid, p.chunk_id, CAST(pos AS INTEGER) AS pos, 'graph' AS source, CAST(0.0 AS DOUBLE) AS rrf_score FROM placed p JOIN (SELECT DISTINCT chunk_id FROM chunks) USING (chunk_id) WHERE pos <= 3")
 def kg_inject(s, d):
     have = T(s, d, "chunks").select("chunk_id").distinct()
-    return _expanded(s, d, 3).join(have, "chunk_id", "left_semi").select("qid", "chunk_id", "pos", F.lit("graph").alias("source"), F.lit(0.0).alias("rrf_score"))
+    return _expanded(s, d, 3).join(graph.by_merge(have), "chunk_id", "left_semi").select("qid", "chunk_id", "pos", F.lit("graph").alias("source"), F.lit(0.0).alias("rrf_score"))
 
 
 # ---- context and citations ------------------------------------------------------------

@@ -24,7 +24,7 @@ def test_pushdown_and_codegen(spark, data):
 
 
 # what grows is not broadcast through the driver, however small its size is taken to be
-@pytest.mark.parametrize("name", ["kg_match_question", "kg_graph_expand"])
+@pytest.mark.parametrize("name", ["kg_match_question", "kg_graph_expand", "kg_inject"])
 def test_growing_sides_are_not_broadcast(spark, data, name):
     flag = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(flag)
