@@ -11,8 +11,9 @@ A search tokenises the questions only.  There are three ways to the same rows:
 few postings are scored at once; for few questions of frequent words the terms
 of a question are taken by falling bound until the remaining ones together
 cannot lift a text into the best k, and only texts that hold one of the former
-are completed; many questions are scored text by text in Arrow batches, of
-which each keeps its best k a question.
+are completed; many questions are scored in tasks over the texts, of which each
+keeps its best k a question: what the common terms give is summed once for all
+questions that share them, and the rare terms are added to the texts that hold them.
 
 Defined results: null and empty texts have no postings but count as texts;
 a null id is an id like any other; a text whose id is written again replaces the
@@ -49,8 +50,12 @@ BUCKETS = 32
 AT_ONCE = 2_000_000
 #: Up to so many questions are scored with pruning by bounds, more of them text by text.
 FEW = 16
-#: Cells of the table of texts by questions that a task of the latter fills at once.
+#: Terms of texts that a task of the latter holds at once.
 CELLS = 4_000_000
+#: Weighted question terms that such a task gets at once; further ones are answered in further passes over the texts.
+TEXT_BLOCK = 1_000_000
+#: A term that more than one in so many of the texts at hand has is added up for all of them.
+COMMON = 16
 #: Texts a question looks at before it knows its bound, as a multiple of k.
 PROBES = 50
 #: Of those, so many times k are completed: the k-th best of them is the bound.
@@ -194,14 +199,15 @@ class LexicalIndex:
         """(qid, id, score, rank): the k best texts of each question; ``keep`` is a condition on payload columns.
 
         Corpus statistics are those of the whole index whatever ``keep`` says.  Questions
-        are answered in blocks of at most ``TERM_BLOCK`` weighted terms, counted before.
+        are answered in blocks of at most ``TERM_BLOCK`` weighted terms, counted before,
+        or ``TEXT_BLOCK`` where many are scored over the texts.
         """
         m = self.manifest()
         asked = cut(questions.select("qid", F.explode(words(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("m")))
-        return reduce(DataFrame.unionByName, [self._search(part, few, m, k, keep) for part, few in _blocks(asked)])
+        return reduce(DataFrame.unionByName, [self._search(part, rows, m, k, keep) for part, rows in _blocks(asked)])
 
-    def _search(self, asked: DataFrame, few: bool, m: dict, k: int, keep: Column | None) -> DataFrame:
-        side = F.broadcast if few else lambda df: df
+    def _search(self, asked: DataFrame, rows: int, m: dict, k: int, keep: Column | None) -> DataFrame:
+        side = F.broadcast if rows <= TERM_BLOCK else lambda df: df
         only = asked.select("term").distinct()
         some = only.select("term", bucket(F.col("term")).alias("b")).limit(PUSHED + 1).collect()
         # the terms themselves only if they are few, of the buckets BUCKETS at most
@@ -222,16 +228,18 @@ class LexicalIndex:
         if (size["rows"] or 0) <= AT_ONCE or size["least"] <= 0:
             scored = posts.join(side(weights), "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
             return top_k(scored, k)
-        if few and size["questions"] > FEW:
+        if rows <= max(TERM_BLOCK, TEXT_BLOCK) and size["questions"] > FEW:
             texts = self._read("texts", m["segments"])
             return self._by_text(texts if keep is None else texts.where(keep), weights, m["avgdl"], k)
         return self._pruned(posts, weights, part, k, side)
 
     def _by_text(self, texts: DataFrame, weights: DataFrame, avgdl: float, k: int) -> DataFrame:
-        """Every text against all questions of a block, whose weights go to each task: ``TERM_BLOCK`` rows at most."""
+        """Every text against all questions of a block, whose weights go to each task: ``TEXT_BLOCK`` rows at most."""
         rows = weights.select("qid", "term", "w").toArrow()
         shape = T.StructType([T.StructField("qid", weights.schema["qid"].dataType), T.StructField("id", texts.schema["id"].dataType), T.StructField("s", T.DoubleType())])
-        scored = texts.select("id", "dl", "terms", "tfs").mapInArrow(_scorer(rows, avgdl, k), shape)
+        # a task gives k rows a question however many texts it has: no more tasks than run at once
+        some = texts.select("id", "dl", "terms", "tfs").coalesce(self.spark.sparkContext.defaultParallelism)
+        scored = some.mapInArrow(_scorer(rows, avgdl, k), shape)
         return top_k(scored.select("qid", "id", F.round("s", 6).alias("score")), k)
 
     def _pruned(self, posts: DataFrame, weights: DataFrame, part: Column, k: int, side) -> DataFrame:
@@ -261,58 +269,162 @@ def _completed(sums: DataFrame, terms: DataFrame, posts: DataFrame, part: Column
     return sums.join(more, ["qid", "id"], "left").select("qid", "id", (F.col("s") + F.coalesce("t", F.lit(0.0))).alias("s"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in tables of some ``CELLS`` terms."""
+    held, terms = [], 0
+    for whole in batches:
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(whole["terms"]), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < whole.num_rows:
+            before = upto[at - 1] if at else 0
+            end = min(whole.num_rows, max(at + 1, int(np.searchsorted(upto, before + CELLS - terms, side="right"))))
+            held.append(whole.slice(at, end - at))
+            terms += int(upto[end - 1] - before)
+            at = end
+            if terms >= CELLS or at < whole.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, terms = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _scorer(rows: pa.Table, avgdl: float, k: int):
-    """The best k sums a question of each batch of texts, and what ties with them."""
+    """The best k sums a question of all texts of a task, and what ties with them; every weight is above zero.
+
+    A question's sum over a text is what its common terms give, one vector for all
+    questions with the same ones, and what its rare terms add at the texts that
+    hold them.  Other texts can only be among the best by the common terms alone.
+    """
     asked = rows["term"].combine_chunks().dictionary_encode()
-    qids = rows["qid"].combine_chunks().dictionary_encode()
+    qids = rows["qid"].combine_chunks().dictionary_encode(null_encoding="encode")
     term_no, q_no, w = asked.indices.to_numpy(), qids.indices.to_numpy(), rows["w"].to_numpy()
-    order = np.argsort(term_no, kind="stable")
-    q_no, w = q_no[order], w[order]
-    first = np.searchsorted(term_no[order], np.arange(len(asked.dictionary) + 1))
+    order = np.lexsort((term_no, q_no))
+    term_no, w = term_no[order].astype("int32"), w[order]
+    ends = np.searchsorted(q_no[order], np.arange(len(qids.dictionary) + 1))
+    # questions of the same words are one
+    alike: dict[bytes, list[int]] = {}
+    for q in range(len(qids.dictionary)):
+        at = slice(ends[q], ends[q + 1])
+        alike.setdefault(term_no[at].tobytes() + w[at].tobytes(), []).append(q)
+    members = list(alike.values())
+    spans = [(int(ends[m[0]]), int(ends[m[0] + 1])) for m in members]
     names, questions = asked.dictionary, qids.dictionary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, CELLS // len(questions))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                n = b.num_rows
-                no = pc.fill_null(pc.index_in(b["terms"].flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(n), pc.list_value_length(b["terms"]).to_numpy(zero_copy_only=False))
-                known = no >= 0
-                no, text, tf = no[known], text[known], b["tfs"].flatten().to_numpy(zero_copy_only=False)[known]
-                gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * b["dl"].to_numpy(zero_copy_only=False)[text] / avgdl))
-                by_term = np.argsort(no, kind="stable")
-                no, text, gain = no[by_term], text[by_term], gain[by_term]
-                sums = np.zeros((n, len(questions)))
-                ends = np.flatnonzero(np.diff(no, append=-1)) + 1
-                start = 0
-                for end in ends:
-                    t = no[start]
-                    q = slice(first[t], first[t + 1])
-                    sums[text[start:end, None], q_no[q]] += gain[start:end, None] * w[q]
-                    start = end
-                best = sums > 0
-                if n > k:
-                    best &= sums >= np.partition(sums, n - k, axis=0)[n - k] - SLACK
-                i, q = np.nonzero(best)
-                yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), b["id"].take(pa.array(i)), pa.array(sums[i, q])], names=["qid", "id", "s"])
+        least = np.zeros(len(spans))  # what the k-th best of a question has at least
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ids: list[pa.Array] = []
+        base = held = 0
+        for piece in _pieces(batches):
+            who, where, sums = _best(piece, names, term_no, w, spans, avgdl, k, least)
+            kept, at = np.unique(where, return_inverse=True)
+            ids.append(piece["id"].combine_chunks().take(pa.array(kept)))
+            found.append((who, at + base, sums))
+            base, held = base + len(kept), held + len(who)
+            if held > 2 * CELLS:
+                found = [_first(*map(np.concatenate, zip(*found)), k)]
+                used, at = np.unique(found[0][1], return_inverse=True)
+                ids, base, held = [pa.concat_arrays(ids).take(pa.array(used))], len(used), len(at)
+                found = [(found[0][0], at, found[0][2])]
+        if not held:
+            return
+        who, where, sums = _first(*map(np.concatenate, zip(*found)), k)
+        every = pa.concat_arrays(ids)
+        sizes = np.array([len(m) for m in members])
+        flat, firsts = np.concatenate(members), np.cumsum(sizes) - sizes
+        step = 100_000
+        for i in range(0, len(who), step):
+            g, n = who[i : i + step], sizes[who[i : i + step]]
+            row = np.repeat(np.arange(len(g)), n)
+            q = flat[firsts[g][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+            yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), every.take(pa.array(where[i : i + step][row])), pa.array(sums[i : i + step][row])], names=["qid", "id", "s"])
 
     return run
 
 
+def _first(who: np.ndarray, where: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each question the best k, and what ties with the last of them."""
+    order = np.lexsort((-sums, who))
+    who, where, sums = who[order], where[order], sums[order]
+    start = np.flatnonzero(np.diff(who, prepend=-1))
+    size = np.diff(start, append=len(who))
+    last = np.repeat(np.where(size > k, sums[np.minimum(start + k - 1, len(who) - 1)], -np.inf), size)
+    kept = sums >= last - SLACK
+    return who[kept], where[kept], sums[kept]
+
+
+def _best(piece: pa.Table, names: pa.Array, term_no: np.ndarray, w: np.ndarray, spans: list[tuple[int, int]], avgdl: float, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, place of the text, sum) of what may be among the best k; raises ``least``."""
+    lists = piece["terms"].combine_chunks()
+    n = piece.num_rows
+    no = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(n, dtype="int32"), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    known = no >= 0
+    no, text, tf = no[known], text[known], piece["tfs"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[known]
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * piece["dl"].to_numpy()[text] / avgdl))
+    by_term = np.argsort(no, kind="stable")
+    text, gain = text[by_term], gain[by_term]
+    first = np.searchsorted(no[by_term], np.arange(len(names) + 1))
+    count = np.diff(first)
+    posts = [(text[a:b], gain[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    common = (count * COMMON > n)[term_no]
+    rare = (count > 0)[term_no] & ~common
+    patterns: dict[bytes, list[int]] = {}
+    for g, (a, b) in enumerate(spans):
+        c = common[a:b]
+        patterns.setdefault(term_no[a:b][c].tobytes() + w[a:b][c].tobytes(), []).append(g)
+    who, where, sums = [], [], []
+    extra, none = np.zeros(n), np.zeros(0, "int32")
+    for groups in patterns.values():
+        a, b = spans[groups[0]]
+        c = common[a:b]
+        shared = np.zeros(n)
+        for t, weight in zip(term_no[a:b][c].tolist(), w[a:b][c].tolist()):
+            shared[posts[t][0]] += posts[t][1] * weight
+        by_shared, top = 0.0, none
+        if c.any():
+            by_shared = np.partition(shared, n - k)[n - k] if n > k else 0.0
+            top = np.flatnonzero((shared >= by_shared - SLACK) & (shared > 0)).astype("int32")
+        for g in groups:
+            a, b = spans[g]
+            r = rare[a:b]
+            # one place for each text and rare term; a text comes once for each of them, with its whole sum
+            at = [(posts[t], weight) for t, weight in zip(term_no[a:b][r].tolist(), w[a:b][r].tolist())]
+            for (place, part), weight in at:
+                extra[place] += part * weight
+            place = np.concatenate([top, *[p[0] for p, _ in at]])
+            total = shared[place] + extra[place]
+            for (p, _), _ in at:
+                extra[p] = 0.0
+            kept = total >= max(by_shared, least[g]) - SLACK
+            place, once = np.unique(place[kept], return_index=True)
+            total = total[kept][once]
+            if len(total) >= k:
+                last = np.partition(total, len(total) - k)[len(total) - k]
+                least[g] = max(least[g], last)
+                kept = total >= last - SLACK
+                place, total = place[kept], total[kept]
+            if len(place):
+                who.append(np.full(len(place), g, "int32"))
+                where.append(place)
+                sums.append(total)
+    if not who:
+        return none, none, np.zeros(0)
+    return np.concatenate(who), np.concatenate(where), np.concatenate(sums)
+
+
 def _kth(sums: DataFrame, k: int) -> DataFrame:
     """(qid, bound): what the k-th best text of a question scores at least; no row if there are fewer."""
     best = sums.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s")))).where(F.col("r") <= k)
     return best.groupBy("qid").agg(F.min("s").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).select("qid", (F.col("s") - SLACK).alias("bound"))
 
 
-def _blocks(asked: DataFrame) -> list[tuple[DataFrame, bool]]:
-    """Parts of whole questions, each with whether it has at most ``TERM_BLOCK`` rows, as counted: such a part may be broadcast."""
-    n = asked.count()
-    if n <= TERM_BLOCK:
-        return [(asked, True)]
-    bands = 2 * -(-n // TERM_BLOCK)
+def _blocks(asked: DataFrame) -> list[tuple[DataFrame, int]]:
+    """Parts of whole questions, each with its number of rows, as counted."""
+    n, most = asked.count(), max(TERM_BLOCK, TEXT_BLOCK)
+    if n <= most:
+        return [(asked, n)]
+    bands = -(-5 * n // (4 * most))
     band = F.pmod(F.xxhash64("qid"), F.lit(bands))
     sizes = {r["b"]: r["count"] for r in asked.groupBy(band.alias("b")).count().collect()}
-    return [(asked.where(band == b), size <= TERM_BLOCK) for b, size in sorted(sizes.items())]
+    return [(asked.where(band == b), size) for b, size in sorted(sizes.items())]

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,26 @@ def test_a_search_reads_only_what_is_asked(spark, data):
     assert "regexp_extract_all" not in text and "chunks.parquet" not in text
     assert "PartitionFilters: [bucket#" in text and "PushedFilters: [In(term" in text
     assert catalog._index(spark, data, "children").manifest() == made
+
+
+def test_many_questions_in_blocks(spark, tmp_path, monkeypatch):
+    for name, value in (("AT_ONCE", 0), ("FEW", 0), ("CELLS", 60), ("TERM_BLOCK", 20), ("TEXT_BLOCK", 30)):
+        monkeypatch.setattr(I, name, value)
+    rnd = random.Random(6)
+    rows = texts(120) + [(i + 500, t, g, c) for i, t, g, c in texts(120)]  # every text twice: ties everywhere
+    words = [" ".join(rnd.choices([f"w{j}" for j in range(45)], k=rnd.randint(1, 6))) for _ in range(15)]
+    questions = list(enumerate(words + words))  # and every question
+    index = I.LexicalIndex.create(spark.createDataFrame(rows, SCHEMA).repartition(3), str(tmp_path / "x"), ("tag",))
+    assert got(index.search(spark.createDataFrame(questions, "qid int, question string"), 5)) == plain(rows, questions, 5)
+
+
+def test_a_task_gives_k_rows_a_question(monkeypatch):
+    monkeypatch.setattr(I, "CELLS", 60)
+    rows = texts(300)
+    asked = [(q, f"w{t}", 1.0 + t / 7) for q in range(20) for t in (q, q + 1, 0) if (q, t) != (0, 0) or t]
+    ask = pa.table({"qid": [a[0] for a in asked], "term": [a[1] for a in asked], "w": [a[2] for a in asked]})
+    counts = [Counter(r[1].split()) for r in rows]
+    whole = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "dl": [sum(c.values()) for c in counts], "terms": [list(c) for c in counts], "tfs": [list(c.values()) for c in counts]})
+    out = [r for b in I._scorer(ask, 15.0, 4)(whole.slice(at, 50) for at in range(0, 300, 50)) for r in b.to_pylist()]
+    per = Counter(r["qid"] for r in out)
+    assert set(per) == set(range(20)) and max(per.values()) <= 6  # four and what ties
