@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from quarrylight.functions import text as X
 from quarrylight.operators import chunking, context, corrective, evaluation, graph, ingest, observe, orphans, render, retrieval, router, units
 from quarrylight.plans import pipeline
-from quarrylight.session import rename, shared_folder, stamp
+from quarrylight.session import cut, rename, shared_folder, stamp
 from quarrylight.session import table as T
 from quarrylight.sources import files
 from quarrylight.sources.index import FORMAT, LexicalIndex
@@ -761,7 +761,7 @@ def crag_corrected_set(s, d):
     names = T(s, d, "companies").select(F.col("ticker").alias("t"), "company", F.lower(F.substring_index("company", " ", 1)).alias("w"))
     said = _questions(s, d).select("qid", "question", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(r"(\w+)"), F.lit(1)))).alias("w"))
     web = said.join(names, "w").where(F.contains("question", F.col("company"))).select("qid", corrective.web_id(F.concat(F.lit("https://example.org/"), "company")).alias("chunk_id"), F.row_number().over(Window.partitionBy("qid").orderBy("t")).alias("pos"))
-    g = _grades(s, d)
+    g = cut(_grades(s, d))  # asked for twice, searched once
     return corrective.corrected(g, web, corrective.actions(_questions(s, d), g))
 
 

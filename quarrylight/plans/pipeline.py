@@ -86,6 +86,6 @@ def ask(questions: DataFrame, corpus: DataFrame, chunks: DataFrame, index: Lexic
 def ask_corrected(questions: DataFrame, corpus: DataFrame, web: DataFrame, index: LexicalIndex, cfg: Settings = Settings()) -> DataFrame:
     """(qid, action, chunk_id, place): the set that the corrective loop would answer from."""
     hits = retrieve(questions, [], corpus, index, cfg).join(questions, "qid")
-    graded = hits.select("qid", "chunk_id", "pos", corrective.grade_lexical(F.col("question"), F.col("text")).alias("relevant"))
+    graded = cut(hits.select("qid", "chunk_id", "pos", corrective.grade_lexical(F.col("question"), F.col("text")).alias("relevant")))
     acts = corrective.actions(questions, graded)
     return corrective.corrected(graded, web, acts).join(acts.select("qid", "action"), "qid")

@@ -42,6 +42,10 @@ def test_topk_limits_groups_early(spark, data):
     assert "WindowGroupLimit" in plan(catalog.QUERIES["bm25_batch_topk"](spark, data))
 
 
+def test_a_corrected_set_is_searched_once(spark, data):
+    assert "lexical" not in plan(catalog.QUERIES["crag_corrected_set"](spark, data))
+
+
 def test_ask(spark, data):
     chunks = catalog.T(spark, data, "chunks")
     corpus, index = catalog._children(spark, data), catalog._index(spark, data, "children")
