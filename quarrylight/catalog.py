@@ -1180,7 +1180,10 @@ _ORPHANS = f"""refs AS (
 
 @query(f"WITH {_ORPHANS} SELECT rel_id, ref_field, state FROM orphans WHERE state IS NOT NULL")
 def p2_found(s, d):
-    return orphans.orphans(_references(s, d)).select("rel_id", "ref_field", "state")
+    """The stored state after three deltas, which resolve and reopen what came before."""
+    store = orphans.OrphanStore(s, os.path.join(shared_folder(s), "orphans", uuid.uuid4().hex), once=False)
+    known = orphans.found(T(s, d, "relationships"), T(s, d, "entities"), T(s, d, "chunks"), store)
+    return orphans.orphans(known).select("rel_id", "ref_field", "state")
 
 
 @query(f"WITH {_ORPHANS} SELECT ref_table, fiscal_period, state, count(*) AS n_orphans FROM orphans WHERE state IS NOT NULL GROUP BY ALL")

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 from threading import RLock
 
@@ -37,25 +38,26 @@ KEYS = ("space", "scope", "key")
 REMEMBERED = 1000
 
 
-def entity_parents(entities: DataFrame) -> DataFrame:
+def entity_parents(entities: DataFrame, pid: Column | None = None) -> DataFrame:
+    """``pid``: what tells versions of one parent from other parents; the entity_id without it."""
     return entities.where(F.col("name").isNotNull() & F.col("ticker").isNotNull()).select(
         F.lit(NAMES).alias("space"),
         F.col("ticker").alias("scope"),
         fold(F.col("name")).alias("key"),
-        F.concat(F.lit("e"), F.col("entity_id").cast("string")).alias("pid"),
+        F.concat(F.lit("e"), F.col("entity_id").cast("string") if pid is None else pid).alias("pid"),
         F.col("extracted_at").alias("seen_at"),
         F.col("deleted_at").isNotNull().alias("gone"),
         F.coalesce("deleted_at", "extracted_at").alias("changed_at"),
     )
 
 
-def chunk_parents(chunks: DataFrame) -> DataFrame:
-    """One parent per ingestion: a re-ingested chunk_id is two rows of one key."""
+def chunk_parents(chunks: DataFrame, pid: Column | None = None) -> DataFrame:
+    """One parent per ingestion: a re-ingested chunk_id is two rows of one key; ``pid`` as for entities."""
     return chunks.where(F.col("chunk_id").isNotNull()).select(
         F.lit(CHUNKS).alias("space"),
         F.lit("").alias("scope"),
         F.col("chunk_id").alias("key"),
-        F.concat(F.lit("c"), F.col("chunk_id"), F.lit("@"), F.coalesce(F.col("ingested_at").cast("string"), F.lit(""))).alias("pid"),
+        F.concat(F.lit("c"), F.concat(F.col("chunk_id"), F.lit("@"), F.coalesce(F.col("ingested_at").cast("string"), F.lit(""))) if pid is None else pid).alias("pid"),
         F.col("ingested_at").alias("seen_at"),
         F.col("deleted_at").isNotNull().alias("gone"),
         F.coalesce("deleted_at", "ingested_at").alias("changed_at"),
@@ -126,6 +128,8 @@ class OrphanStore:
     path: str
     #: Folders of a store, the most that a delta writes; fixed when it is made: some thousand for a large one.
     buckets: int = 16
+    #: Whether a reference that comes again counts once; where nothing is delivered twice, each row stands for itself.
+    once: bool = True
 
     def _manifest(self) -> dict:
         at = os.path.join(self.path, "manifest.json")
@@ -188,7 +192,8 @@ class OrphanStore:
             rows = rows.unionByName(new)
         known = _probe(rows, self._read(m, "parents", PARENT, touched))
         # after the join rows of a key are in one place, so that what came again goes without a shuffle
-        known = known.dropDuplicates(["rel_id", "ref_field", *KEYS])
+        if self.once:
+            known = known.dropDuplicates(["rel_id", "ref_field", *KEYS])
         known.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(os.path.join(at, "refs"))
         if exists(self.spark, os.path.join(at, "refs"), "bucket="):
             each = self.spark.read.schema(f"{REFERENCE}, bucket int").parquet(os.path.join(at, "refs"))
@@ -218,8 +223,30 @@ def replay(relationships: DataFrame, entities: DataFrame, chunks: DataFrame, sto
     Rows come in the step of their time and are withdrawn in that of their deleted_at;
     what has no time comes first.
     """
-    refs = references(relationships)
     parents = _versions(entities, entity_parents, "extracted_at").unionByName(_versions(chunks, chunk_parents, "ingested_at"))
+    out = None
+    for i in _deltas(references(relationships), parents, store, steps):
+        seen = cut(store.snapshot().select(F.lit(i).alias("step"), "ref_table", "fiscal_period", "state", "n_orphans"))
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+def found(relationships: DataFrame, entities: DataFrame, chunks: DataFrame, store: OrphanStore, steps: int = 3) -> DataFrame:
+    """All references with the state that they have after the tables came in deltas of equal time.
+
+    Every row of the tables is a version of its own: one that agrees with another in
+    all that decides is no other parent, whatever ids they have.
+    """
+    same = lambda df, *cols: df.withColumn("_row", F.to_json(F.struct(*cols)))
+    e = _versions(same(entities, "name", "ticker", "extracted_at", "deleted_at"), lambda t: entity_parents(t, F.col("_row")), "extracted_at")
+    c = _versions(same(chunks, "chunk_id", "ingested_at", "deleted_at"), lambda t: chunk_parents(t, F.col("_row")), "ingested_at")
+    for _ in _deltas(references(relationships), e.unionByName(c), store, steps):
+        pass
+    return store.references()
+
+
+def _deltas(refs: DataFrame, parents: DataFrame, store: OrphanStore, steps: int) -> Iterator[int]:
+    """Apply what comes and goes in each of so many steps of equal time; gives the step when it is applied."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     ends = refs.agg(F.min(us("ref_at")), F.max(us("ref_at"))).first(), parents.agg(F.min(us("changed_at")), F.max(us("changed_at"))).first()
     lo, hi = min((e[0] for e in ends if e[0] is not None), default=0), max((e[1] for e in ends if e[1] is not None), default=0)
@@ -229,11 +256,8 @@ def replay(relationships: DataFrame, entities: DataFrame, chunks: DataFrame, sto
     at = os.path.join(store.path, "arrivals")
     for name, rows, time in (("refs", refs, "ref_at"), ("parents", parents, "changed_at")):
         rows.withColumn("step", step(time)).hint("rebalance", "step").write.partitionBy("step").parquet(os.path.join(at, name))
-    out = None
     for i in range(1, steps + 1):
         came = [os.path.join(at, name, f"step={i}") for name in ("refs", "parents")]
         store.apply(*(refs.sparkSession.read.parquet(p) if exists(refs.sparkSession, p) else None for p in came))
-        seen = cut(store.snapshot().select(F.lit(i).alias("step"), "ref_table", "fiscal_period", "state", "n_orphans"))
-        out = seen if out is None else out.unionByName(seen)
+        yield i
     delete(refs.sparkSession, at)
-    return out

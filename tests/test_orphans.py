@@ -58,6 +58,18 @@ def test_snapshot_and_empty(spark):
     assert {r.state for r in orphans.orphans(orphans.probe(rels, ents.limit(0), chunks.limit(0))).collect()} == {"missing"}
 
 
+def test_the_stored_state_gives_what_the_tables_say(spark, tmp_path):
+    """Also where ids that should be keys come twice."""
+    rels, ents, chunks = frames(spark)
+    rels, ents = rels.unionByName(rels.where("rel_id < 3")), ents.unionByName(ents.where("entity_id = 4").selectExpr("1L as entity_id", "name", "ticker", "extracted_at", "deleted_at", "state"))
+    chunks = chunks.unionByName(chunks.where("chunk_id = 'c2'").selectExpr("chunk_id", "ingested_at", "timestamp_ntz'2025-04-01 00:00:00' as deleted_at", "key"))
+    for steps in (1, 3):
+        store = orphans.OrphanStore(spark, str(tmp_path / f"o{steps}"), once=False)
+        rows = lambda df: sorted((r.rel_id, r.ref_field, r.key, r.state) for r in df.collect())
+        assert rows(orphans.found(rels, ents, chunks, store, steps)) == rows(orphans.probe(rels, ents, chunks))
+        assert store._manifest()["version"] == steps
+
+
 def agree(store):
     """The snapshot says what the references say."""
     want = {tuple(r) for r in orphans.counts(store.references()).collect()}

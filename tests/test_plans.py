@@ -42,6 +42,11 @@ def test_topk_limits_groups_early(spark, data):
     assert "WindowGroupLimit" in plan(catalog.QUERIES["bm25_batch_topk"](spark, data))
 
 
+def test_orphans_are_read_from_the_stored_state(spark, data):
+    text = plan(catalog.QUERIES["p2_found"](spark, data))
+    assert "/orphans/" in text and "relationships.parquet" not in text
+
+
 def test_a_corrected_set_is_searched_once(spark, data):
     assert "lexical" not in plan(catalog.QUERIES["crag_corrected_set"](spark, data))
 
