@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarrylight.functions.text import words
+from quarrylight.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -84,11 +85,13 @@ def normalize(v: Column) -> Column:
 
 
 #: The most query vectors that go to every task at once; further ones are answered in further blocks.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 32_768
 #: Cells of the table of vectors by queries that a task fills at once.
 CELLS = 4_000_000
 #: Scores are rounded to six places: what lies so near the k-th best may tie with it.
 NEAR = 2e-6
+#: More than single precision is wrong by in a product of unit vectors.
+SINGLE = 1e-4
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
@@ -101,13 +104,15 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, keep: Column | None =
     """
     rows = (vectors if keep is None else vectors.where(keep)).select("id", "v")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if blocks > 1:  # each block reads both again
+        queries, rows = cut(queries), cut(rows)
     shape = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("s", T.DoubleType())])
     parts = []
     for i in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
         asked = block.select("qid", "q").toArrow()
         if asked.num_rows:
-            scored = rows.mapInArrow(_product(asked, k), shape).select("qid", "id", F.round("s", 6).alias("score"))
+            scored = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(_product(asked, k), shape).select("qid", "id", F.round("s", 6).alias("score"))
             parts.append(top_k(scored, k))
     if not parts:
         return top_k(rows.sparkSession.createDataFrame([], shape).select("qid", "id", F.col("s").alias("score")), k)
@@ -130,21 +135,59 @@ def _product(asked: pa.Table, k: int):
     sides = [(n, *_units(lists, n)) for n in sizes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task keeps the best k a query of all its rows; single precision only sorts out what is far from them
+        least = [np.full(len(of), -np.inf) for _, of, _ in sides]
+        held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in sides]
+        ids: list[pa.Array] = []
+        base = 0
+        singles = [q.T.astype("float32") for _, _, q in sides]
         for whole in batches:
-            for size, of, q in sides:
-                for at in range(0, whole.num_rows, max(1, CELLS // max(1, len(of)))):
-                    b = whole.slice(at, max(1, CELLS // max(1, len(of))))
-                    places, v = _units(b["v"], size)
-                    if not len(places) or not len(of):
-                        continue
-                    s = v @ q.T
-                    best = np.ones(s.shape, bool) if len(v) <= k else s >= np.partition(s, len(v) - k, axis=0)[len(v) - k] - NEAR
-                    i, j = np.nonzero(best)
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(of[j])), b["id"].take(pa.array(places[i])), pa.array(s[i, j])], names=["qid", "id", "s"])
+            for no, (size, of, q) in enumerate(sides):
+                if not len(of):
+                    continue
+                places, v = _units(whole["v"], size)
+                step = max(k, CELLS // len(of), 1)
+                for at in range(0, len(v), step):
+                    part = v[at : at + step]
+                    if len(part) >= k and not np.isfinite(least[no]).all():
+                        s = part @ q.T
+                        least[no] = np.maximum(least[no], np.partition(s, len(part) - k, axis=0)[len(part) - k])
+                    near = part.astype("float32") @ singles[no] >= (least[no] - NEAR - SINGLE).astype("float32")
+                    r, c = np.nonzero(near)
+                    for b in range(0, len(r), CELLS):
+                        x, y = r[b : b + CELLS], c[b : b + CELLS]
+                        held[no].append((y.astype("int32"), places[at + x] + base, np.einsum("ij,ij->i", part[x], q[y])))
+                if sum(len(h[0]) for h in held[no]) > max(CELLS, 2 * k * len(of)):
+                    held[no] = [_best_of(held[no], k, least[no])]
+            ids.append(whole["id"])
+            base += whole.num_rows
+            if base > CELLS:  # the ids that are no longer held go
+                used = np.unique(np.concatenate([np.zeros(0, "int64"), *[i for h in held for _, i, _ in h]]))
+                ids, base = [pa.chunked_array(ids).combine_chunks().take(pa.array(used))], len(used)
+                held = [[(j, np.searchsorted(used, i), s) for j, i, s in h] for h in held]
+        every = pa.chunked_array(ids).combine_chunks() if ids else None
+        for no, (_, of, _) in enumerate(sides):
+            if held[no]:
+                j, i, s = _best_of(held[no], k, least[no])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(of[j])), every.take(pa.array(i)), pa.array(s)], names=["qid", "id", "s"])
 
     return run
 
 
+def _best_of(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query the best k and what may tie with the last of them; raises ``least``, what the k-th best has at least."""
+    j, i, s = map(np.concatenate, zip(*parts))
+    order = np.lexsort((-s, j))
+    j, i, s = j[order], i[order], s[order]
+    start = np.flatnonzero(np.diff(j, prepend=-1))
+    size = np.diff(start, append=len(j))
+    full = size >= k
+    last = np.where(full, s[np.minimum(start + k - 1, max(0, len(s) - 1))], -np.inf)
+    least[j[start]] = np.maximum(least[j[start]], last)
+    kept = s >= np.repeat(last, size) - NEAR
+    return j[kept], i[kept], s[kept]
+
+
 def fuse(lists: list[tuple[str, DataFrame]], k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists; a list's name is its source, two names make 'both'."""
     parts = [df.select("qid", "id", F.lit(src).alias("src"), F.col("rank"), (F.lit(i * 1_000_000) + F.col("rank")).alias("seen")) for i, (src, df) in enumerate(lists)]

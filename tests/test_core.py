@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,22 @@ def test_dense_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.dense(q, v, 3).select("qid", "id", "rank").collect()} == want and len(want) == 30
 
 
+def test_dense_gives_k_rows_a_query_of_a_task(monkeypatch):
+    rnd = np.random.default_rng(3)
+    v, q = rnd.normal(size=(300, 6)), rnd.normal(size=(20, 6))
+    v[150:] = v[:150]  # every vector twice
+    asked = pa.table({"qid": list(range(20)), "q": [list(x) for x in q]})
+    whole = pa.RecordBatch.from_pydict({"id": list(range(300)), "v": [list(x) for x in v]})
+    cos = (q / np.linalg.norm(q, axis=1)[:, None]) @ (v / np.linalg.norm(v, axis=1)[:, None]).T
+    for cells in (100, 10**6):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        out = [r for b in retrieval._product(asked, 4)(whole.slice(at, 50) for at in range(0, 300, 50)) for r in b.to_pylist()]
+        for j in range(20):
+            best = sorted(range(300), key=lambda i: (-round(cos[j, i], 9), i))[:4]
+            assert {r["id"] for r in out if r["qid"] == j} == set(best)
+    assert len(out) == 80
+
+
 def test_budget_cut_is_the_head_of_the_block(spark):
     b = spark.createDataFrame([("q", 1, "--- [1] T ---\n$1,250.5 million (U.S. GAAP); see\nthe  rest"), ("q", 2, "f")], "qid string, slot int, block string")
     r = context.within_budget(b, 17).collect()
